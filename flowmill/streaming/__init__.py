@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+Every workload this library covers is a batch job over recorded flows. The
+sequence windows in ``flowmill.operators.sequence`` are count-based over record
+order, not event-time windows, so there is no watermark, no state and no
+streaming operator to provide.
+"""
