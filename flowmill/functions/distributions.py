@@ -12,6 +12,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _TABLE_DF = 200
 EXACT_MAX_PAIRS = 25
@@ -117,7 +118,7 @@ def signed_rank_p(n: Column, w: Column) -> Column:
     return F.get(F.lit(flat), at)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|); Spark has no complementary error function."""
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2.0)))

@@ -171,20 +171,23 @@ def best_and_stop_epoch(
     value: str = "val_f1_macro",
     patience: int = 10,
 ) -> DataFrame:
-    """(run, best_epoch, best_value, stop_epoch).
+    """(run_id, best_epoch, best_value, stop_epoch).
 
     Best is the first epoch with the highest value. Training stops at the first epoch that
-    lies ``patience`` or more epochs after the last strict improvement; null if never.
+    lies ``patience`` or more epochs after the last strict improvement; null if never. Epochs
+    are counted by their position in the run.
     """
-    rows = history.select(F.col(run).alias("run_id"), F.col(epoch).alias("epoch"), F.col(value).alias("v"))
+    rows = history.select(
+        F.col(run).alias("run_id"), F.col(epoch).alias("epoch"), F.col(value).alias("v")
+    )
     placed = row_index_within(rows, ["run_id"], ["epoch"], "__i")
     before = running_over(placed, ["run_id"], "__i", maxes={"__best": F.col("v")}, inclusive=False)
-    improved = F.when(F.col("__best").isNull() | (F.col("v") > F.col("__best")), F.col("epoch"))
+    improved = F.when(F.col("__best").isNull() | (F.col("v") > F.col("__best")), F.col("__i"))
     marked = running_over(before, ["run_id"], "__i", maxes={"__last": improved})
     return marked.groupBy("run_id").agg(
-        F.max_by("epoch", F.struct("v", -F.col("epoch"))).alias("best_epoch"),
+        F.max_by("epoch", F.struct(F.col("v"), -F.col("__i"))).alias("best_epoch"),
         F.max("v").alias("best_value"),
-        F.min(F.when(F.col("epoch") - F.col("__last") >= patience, F.col("epoch"))).alias(
+        F.min(F.when(F.col("__i") - F.col("__last") >= patience, F.col("epoch"))).alias(
             "stop_epoch"
         ),
     )
@@ -210,12 +213,13 @@ def backfill_reference(
 
 def macro_f1_report(
     runs: DataFrame, display: dict[str, str], dataset: str = "dataset", model: str = "model",
-    value: str = "f1_macro",
+    value: str = "f1_macro", keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(dataset, model display name, macro F1 as a 4-decimal text)."""
+    """(dataset, model display name, macro F1 as a 4-decimal text), plus the ``keep`` columns."""
     names = F.create_map(*[F.lit(x) for pair in display.items() for x in pair])
     return runs.where(F.col(model).isin(list(display))).select(
         F.col(dataset).alias("dataset"),
         F.try_element_at(names, F.col(model)).alias("model"),
+        *keep,
         F.format_string("%.4f", F.col(value)).alias("macro_f1"),
     )

@@ -9,6 +9,7 @@ file in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,11 @@ from flowmill.operators.cleaning import clean_column_names, clean_drop_invalid
 
 ORDER_COLUMNS = ["_file", "_offset", "_position"]
 
+# Cell texts that CSV tools commonly write for a missing value.
+MISSING_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 # Column names of the headerless nsl files, in order; * marks text.
 NSL_COLUMNS = """
 duration protocol_type* service* flag* src_bytes dst_bytes land wrong_fragment urgent hot
@@ -46,7 +52,7 @@ def nsl_schema() -> T.StructType:
 
 def _order_columns() -> list[Column]:
     return [
-        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_offset"),
         F.monotonically_increasing_id().alias("_position"),
     ]
@@ -56,9 +62,51 @@ def _read_csv(
     spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None, header: bool,
     encoding: str = "UTF-8",
 ) -> DataFrame:
+    """Rows with their order columns; missing-value tokens are null and header names clean.
+
+    Without a schema every cell is read as text and :func:`infer_types` picks the types.
+    """
     reader = spark.read.option("header", header).option("encoding", encoding)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(paths if isinstance(paths, str) else list(paths))
+    if schema is not None:
+        reader = reader.schema(schema)
+    df = reader.csv(paths if isinstance(paths, str) else list(paths))
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    cells = [
+        F.when(~F.trim(F.col(f"`{c}`")).isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c)
+        if c in texts else F.col(f"`{c}`")
+        for c in df.columns
+    ]
+    return clean_column_names(df.select(*cells, *_order_columns()))
+
+
+def infer_types(df: DataFrame, keep: Sequence[str] = tuple(ORDER_COLUMNS)) -> DataFrame:
+    """Text columns whose every value is a number become BIGINT or DOUBLE.
+
+    One aggregation over all columns decides; a column without values stays text.
+    """
+    texts = [
+        f.name for f in df.schema.fields
+        if isinstance(f.dataType, T.StringType) and f.name not in keep
+    ]
+    if not texts:
+        return df
+    tests = []
+    for i, c in enumerate(texts):
+        cell = F.trim(F.col(f"`{c}`"))
+        tests += [
+            F.count(cell).alias(f"n{i}"),
+            F.count(cell.try_cast("bigint")).alias(f"i{i}"),
+            F.count(cell.try_cast("double")).alias(f"d{i}"),
+            F.count_if(cell.contains(".") & cell.try_cast("bigint").isNotNull()).alias(f"p{i}"),
+        ]
+    seen = df.agg(*tests).first()
+    casts = {}
+    for i, c in enumerate(texts):
+        if seen[f"n{i}"] and seen[f"i{i}"] == seen[f"n{i}"] and not seen[f"p{i}"]:
+            casts[c] = F.trim(F.col(f"`{c}`")).cast("bigint")
+        elif seen[f"n{i}"] and seen[f"d{i}"] == seen[f"n{i}"]:
+            casts[c] = F.trim(F.col(f"`{c}`")).cast("double")
+    return df.withColumns(casts)
 
 
 def read_custom(
@@ -67,9 +115,10 @@ def read_custom(
 ) -> DataFrame:
     """Any CSV with a header; invalid rows are dropped. Pass a schema to avoid inference."""
     df = _read_csv(spark, paths, schema, header=True)
-    if ordered:
-        df = df.select("*", *_order_columns())
-    return clean_drop_invalid(clean_column_names(df), keep=ORDER_COLUMNS if ordered else ())
+    if schema is None:
+        df = infer_types(df)
+    df = clean_drop_invalid(df, keep=ORDER_COLUMNS)
+    return df if ordered else df.drop(*ORDER_COLUMNS)
 
 
 def read_fixed_schema(
@@ -89,8 +138,10 @@ def read_train_test(
 def _pair(spark, train, test, schema, header) -> DataFrame:
     parts = []
     for part, path in (("train", train), ("test", test)):
-        df = _read_csv(spark, path, schema, header).select("*", *_order_columns())
-        df = clean_drop_invalid(clean_column_names(df), keep=ORDER_COLUMNS)
+        df = _read_csv(spark, path, schema, header)
+        if schema is None:
+            df = infer_types(df)
+        df = clean_drop_invalid(df, keep=ORDER_COLUMNS)
         parts.append(df.withColumn("part", F.lit(part)))
     return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
@@ -113,25 +164,30 @@ def read_multi_file(
     its own columns; a column a file lacks is null there, and cleaning after the union then
     drops that file's rows, while ``per_file_clean`` keeps them.
     """
-    latin = set(files_not_utf8(spark, list(paths)))
-    names = {p: p.rsplit("/", 1)[-1] for p in paths}
-    latin_names = {p.rsplit("/", 1)[-1] for p in latin}
+    latin = {_plain_path(p) for p in files_not_utf8(spark, list(paths))}
     groups: dict[str, list[str]] = {}
-    for p in sorted(paths, key=lambda p: names[p]):
-        encoding = "ISO-8859-1" if names[p].replace(" ", "%20") in latin_names or names[p] in latin_names else "UTF-8"
+    for p in sorted(paths):
+        encoding = "ISO-8859-1" if _plain_path(p) in latin else "UTF-8"
         groups.setdefault(encoding, []).append(p)
 
     frames = []
     for encoding, members in groups.items():
         # with a schema all files of an encoding are one scan; without, headers may differ
-        for chunk in [members] if schema is not None else [[m] for m in members]:
-            df = _read_csv(spark, chunk, schema, True, encoding).select("*", *_order_columns())
-            df = clean_column_names(df)
-            frames.append(clean_drop_invalid(df, keep=ORDER_COLUMNS) if per_file_clean else df)
+        for batch in [members] if schema is not None else [[m] for m in members]:
+            df = _read_csv(spark, batch, schema, True, encoding)
+            if per_file_clean:
+                df = clean_drop_invalid(df if schema is not None else infer_types(df), ORDER_COLUMNS)
+            frames.append(df)
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
-    return out if per_file_clean else clean_drop_invalid(out, keep=ORDER_COLUMNS)
+    if per_file_clean:
+        return out
+    return clean_drop_invalid(out if schema is not None else infer_types(out), keep=ORDER_COLUMNS)
+
+
+def _plain_path(path: str) -> str:
+    return unquote(path.split("://")[-1].removeprefix("file:")).rstrip("/")
 
 
 def chronological_rank(df: DataFrame, file_name: str = "_file") -> DataFrame:
