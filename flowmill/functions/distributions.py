@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_TABLE_DF = 200
+_TABLE_DF = 100
 EXACT_MAX_PAIRS = 25
 
 
@@ -57,7 +57,7 @@ def t_quantile(p: float, df: int) -> float:
     lo, hi = 0.0, 1.0
     while t_cdf(hi, df) < p:
         hi *= 2.0
-    for _ in range(200):
+    while hi - lo > 1e-14 * hi:
         mid = (lo + hi) / 2.0
         lo, hi = (mid, hi) if t_cdf(mid, df) < p else (lo, mid)
     return (lo + hi) / 2.0

@@ -181,9 +181,12 @@ def roc_auc(
     totals = rank_totals(
         df, by, score, hits=hit.cast("int"), mass=F.when(hit, 0).otherwise(1)
     )
+    return _auc_of(totals, by)
+
+
+def _auc_of(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     return totals.select(
-        *by,
-        F.try_divide(F.col("below"), F.col("hits") * F.col("mass")).alias("auc"),
+        *by, F.try_divide(F.col("below"), F.col("hits") * F.col("mass")).alias("auc")
     )
 
 
@@ -224,12 +227,27 @@ def threshold_metrics(
     ``fpr`` is FP / (FP + TN). ``fnr`` is FN / (FN + TP), which some reports label
     "attack-as-positive FPR".
     """
-    truth, guess = F.col(y_true) == 1, at_threshold(F.col(score), threshold) == 1
-    cells = df.groupBy(*by).agg(
-        F.count_if(~truth & ~guess).alias("tn"),
-        F.count_if(~truth & guess).alias("fp"),
-        F.count_if(truth & ~guess).alias("fn"),
-        F.count_if(truth & guess).alias("tp"),
+    truth = F.col(y_true) == 1
+    if with_auc:
+        # one grouping by score serves both the counts and the ranking
+        scores = df.groupBy(*by, F.col(score).alias("__score")).agg(
+            F.count_if(truth).alias("__pos"), F.count_if(~truth).alias("__neg")
+        )
+    else:
+        scores = df.select(
+            *by, F.col(score).alias("__score"),
+            truth.cast("bigint").alias("__pos"), (~truth).cast("bigint").alias("__neg"),
+        )
+    above = at_threshold(F.col("__score"), threshold) == 1
+
+    def total(column: str, condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0))
+
+    cells = scores.groupBy(*by).agg(
+        total("__neg", ~above).alias("tn"),
+        total("__neg", above).alias("fp"),
+        total("__pos", ~above).alias("fn"),
+        total("__pos", above).alias("tp"),
     )
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     n = tn + fp + fn + tp
@@ -253,7 +271,7 @@ def threshold_metrics(
     )
     if not with_auc:
         return out
-    auc = roc_auc(df, score, F.col(y_true) == 1, by)
+    auc = _auc_of(rank_totals(scores, by, "__score", F.col("__pos"), F.col("__neg")), by)
     if by:
         return join_on(out, auc, list(by), "left")
     return out.withColumn("auc", auc.select("auc").scalar())

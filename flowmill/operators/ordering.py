@@ -214,9 +214,7 @@ def rank_totals(
         .groupBy(*keys, "__value")
         .agg(F.sum("__h").alias("__h"), F.sum("__m").alias("__m"))
         .orderBy(*keys, "__value")
-        # the group travels as one dense key so the fold below stays type-agnostic
         .select(
-            F.to_json(F.struct(*keys)).alias("__key") if keys else F.lit("").alias("__key"),
             *keys,
             F.col("__value").cast("double").alias("__value"),
             F.col("__h").cast("double").alias("__h"),
@@ -243,27 +241,21 @@ def rank_totals(
 
 
 def _fold_slice(keys: list[str]):
+    """Reduce one sorted slice to a row per group, carrying the running mass across batches."""
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, acc = None, None
-
-        def closed() -> pd.DataFrame:
-            return pd.DataFrame([acc])
-
         for pdf in batches:
-            for key, part in pdf.groupby("__key", sort=False):
-                if key != open_key:
+            parts = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
+            for key, part in parts:
+                key = tuple(None if pd.isna(k) else k for k in key)
+                if acc is None or key != open_key:
                     if acc is not None:
-                        yield closed()
+                        yield pd.DataFrame([acc])
                     open_key = key
                     acc = {k: part[k].iloc[0] for k in keys}
-                    acc |= {
-                        "__lo": part["__value"].iloc[0],
-                        "__below": 0.0,
-                        "__hits": 0.0,
-                        "__mass": 0.0,
-                        "__cubes": 0.0,
-                        "__ties": 0.0,
-                    }
+                    acc |= {"__lo": part["__value"].iloc[0]}
+                    acc |= dict.fromkeys(("__below", "__hits", "__mass", "__cubes", "__ties"), 0.0)
                 h, m = part["__h"].to_numpy(), part["__m"].to_numpy()
                 before = acc["__mass"] + np.cumsum(m) - m
                 acc["__below"] += float(np.dot(h, before + m / 2))
@@ -272,6 +264,6 @@ def _fold_slice(keys: list[str]):
                 acc["__cubes"] += float((m**3 - m).sum())
                 acc["__ties"] += float((m > 1).sum())
         if acc is not None:
-            yield closed()
+            yield pd.DataFrame([acc])
 
     return fold

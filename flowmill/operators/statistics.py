@@ -21,6 +21,7 @@ from flowmill.operators.ordering import (
     row_index_within,
     running_over,
 )
+from flowmill.session import stage
 
 # Metrics summarised per group of runs, and those tested pairwise.
 SUMMARY_METRICS = ("accuracy", "f1_macro", "auc", "fpr_macro", "fpr_attack_positive")
@@ -115,6 +116,7 @@ def paired_signed_rank(
         .select(*by, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
         .withColumn("__d", F.round(F.col("__a") - F.col("__b"), digits))
     )
+    diffs = stage(diffs, "differences")  # effects, medians and ranks each read the pairs
     d = F.col("__d")
     effects = diffs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"),

@@ -20,6 +20,9 @@ from flowmill.operators.cleaning import clean_column_names, clean_drop_invalid
 
 ORDER_COLUMNS = ["_file", "_offset", "_position"]
 
+# Patterns of an integer that fits 64 bits and of any number.
+_INTEGER = r"^[+-]?[0-9]{1,18}$"
+_REAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?([iI]nf|[iI]nfinity)$"
 # Cell texts that CSV tools commonly write for a missing value.
 MISSING_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -82,7 +85,8 @@ def _read_csv(
 def infer_types(df: DataFrame, keep: Sequence[str] = tuple(ORDER_COLUMNS)) -> DataFrame:
     """Text columns whose every value is a number become BIGINT or DOUBLE.
 
-    One aggregation over all columns decides; a column without values stays text.
+    One aggregation over all columns decides; a column without values stays text. Cells are
+    tested by pattern, because a failing cast raises and catches an error per cell.
     """
     texts = [
         f.name for f in df.schema.fields
@@ -95,16 +99,16 @@ def infer_types(df: DataFrame, keep: Sequence[str] = tuple(ORDER_COLUMNS)) -> Da
         cell = F.trim(F.col(f"`{c}`"))
         tests += [
             F.count(cell).alias(f"n{i}"),
-            F.count(cell.try_cast("bigint")).alias(f"i{i}"),
-            F.count(cell.try_cast("double")).alias(f"d{i}"),
-            F.count_if(cell.contains(".") & cell.try_cast("bigint").isNotNull()).alias(f"p{i}"),
+            F.count_if(F.rlike(cell, F.lit(_INTEGER))).alias(f"i{i}"),
+            F.count_if(F.rlike(cell, F.lit(_REAL))).alias(f"d{i}"),
         ]
     seen = df.agg(*tests).first()
     casts = {}
     for i, c in enumerate(texts):
-        if seen[f"n{i}"] and seen[f"i{i}"] == seen[f"n{i}"] and not seen[f"p{i}"]:
+        filled = seen[f"n{i}"]
+        if filled and filled == seen[f"i{i}"]:
             casts[c] = F.trim(F.col(f"`{c}`")).cast("bigint")
-        elif seen[f"n{i}"] and seen[f"d{i}"] == seen[f"n{i}"]:
+        elif filled and filled == seen[f"d{i}"]:
             casts[c] = F.trim(F.col(f"`{c}`")).cast("double")
     return df.withColumns(casts)
 
@@ -156,25 +160,29 @@ def files_not_utf8(spark: SparkSession, paths: str | Sequence[str]) -> list[str]
 
 def read_multi_file(
     spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None,
-    per_file_clean: bool = False,
+    per_file_clean: bool = False, encoding: str | None = None,
 ) -> DataFrame:
     """Several CSV files as one table in alphabetical file order.
 
-    Files that are not UTF-8 are read as Latin-1. Without a schema every file contributes
+    Files that are not UTF-8 are read as Latin-1; finding them takes one more scan of the
+    text, which a known ``encoding`` saves. Without a schema every file contributes
     its own columns; a column a file lacks is null there, and cleaning after the union then
     drops that file's rows, while ``per_file_clean`` keeps them.
     """
-    latin = {_plain_path(p) for p in files_not_utf8(spark, list(paths))}
     groups: dict[str, list[str]] = {}
-    for p in sorted(paths):
-        encoding = "ISO-8859-1" if _plain_path(p) in latin else "UTF-8"
-        groups.setdefault(encoding, []).append(p)
+    if encoding is not None:
+        groups[encoding] = sorted(paths)
+    else:
+        latin = {_plain_path(p) for p in files_not_utf8(spark, list(paths))}
+        for p in sorted(paths):
+            found = "ISO-8859-1" if _plain_path(p) in latin else "UTF-8"
+            groups.setdefault(found, []).append(p)
 
     frames = []
-    for encoding, members in groups.items():
+    for charset, members in groups.items():
         # with a schema all files of an encoding are one scan; without, headers may differ
         for batch in [members] if schema is not None else [[m] for m in members]:
-            df = _read_csv(spark, batch, schema, True, encoding)
+            df = _read_csv(spark, batch, schema, True, charset)
             if per_file_clean:
                 df = clean_drop_invalid(df if schema is not None else infer_types(df), ORDER_COLUMNS)
             frames.append(df)
