@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmill.functions.hashing import MISSING, comparable
@@ -109,7 +109,8 @@ def overlapping_rows(a: DataFrame, b: DataFrame, features: Sequence[str]) -> Dat
     """Rows of ``a`` whose feature row also occurs in ``b``."""
     keys = [f"__k{i}" for i in range(len(features))]
     left = a.select("*", *[c.alias(k) for c, k in zip(comparable(a, features), keys)])
-    right = b.select(*[c.alias(f"{k}r") for c, k in zip(comparable(b, features), keys)])
+    # a frequent row of b is reduced to one per task before it is shuffled
+    right = b.select(*[c.alias(f"{k}r") for c, k in zip(comparable(b, features), keys)]).distinct()
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"{k}r"))
@@ -144,8 +145,6 @@ def dependence_of(numbered: DataFrame, idx: str, chunk_rows: int = 65_536) -> Da
     Neighbours meet in a join-free way: each row is sent to its own chunk, and the last row
     of a chunk also to the next one, so a ``lag`` inside equal chunks sees every pair once.
     """
-    from pyspark.sql import Window
-
     own = F.expr(f"`{idx}` div {chunk_rows}")
     last = F.expr(f"`{idx}` % {chunk_rows} = {chunk_rows - 1}")
     spread = numbered.select(

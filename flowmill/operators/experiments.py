@@ -150,7 +150,7 @@ def plan_pending(plan: DataFrame, finished: DataFrame, force: bool = False) -> D
 
     A row covered by a finished main run is never pending; ``force`` repeats the others.
     """
-    done = finished.select(F.col("output_path").alias("__done"))
+    done = finished.select(F.col("output_path").alias("__done")).distinct()
     pending = plan.join(done, F.col("reuse_path") == F.col("__done"), "left_anti")
     if force:
         return pending

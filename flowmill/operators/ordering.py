@@ -26,6 +26,7 @@ from flowmill.session import stage
 
 CHUNK_ROWS = 65_536
 _POS = "__pos"
+_TIE = "__tie"
 _POS_BITS = 33  # monotonically_increasing_id keeps the task number above bit 33
 _POS_MASK = (1 << _POS_BITS) - 1
 
@@ -40,17 +41,22 @@ class Indexed:
 
 
 def row_index(
-    df: DataFrame, order_by: Sequence[str | Column], column: str = "row_idx"
+    df: DataFrame, order_by: Sequence[str | Column], column: str = "row_idx", unique: bool = False
 ) -> Indexed:
     """Number rows 0..n-1 in the order of ``order_by``.
 
-    The range sort spreads rows evenly whatever the key distribution (the key,
-    as a whole, should be unique). The sorted rows are staged once with their
-    position inside the writing task; the number of rows per task, a list no
-    longer than the number of shuffle partitions, becomes a literal offset array.
-    Everything after the staging is a narrow projection.
+    The range sort spreads rows evenly whatever the key distribution. Equal keys would all
+    meet in one task, so unless the key is declared ``unique`` the input position is
+    appended to it; ties then keep their input order. The sorted rows are staged once with
+    their position inside the writing task; the number of rows per task, a list no longer
+    than the number of shuffle partitions, becomes a literal offset array. Everything after
+    the staging is a narrow projection.
     """
-    ordered = df.orderBy(*order_by).withColumn(_POS, F.monotonically_increasing_id())
+    keys, source = list(order_by), df
+    if not unique:
+        source = df.withColumn(_TIE, F.monotonically_increasing_id())
+        keys.append(_TIE)
+    ordered = source.orderBy(*keys).drop(_TIE).withColumn(_POS, F.monotonically_increasing_id())
     staged = stage(ordered, "row-index")
     task = F.shiftright(_POS, _POS_BITS).cast("int")
     sizes = {
@@ -62,7 +68,8 @@ def row_index(
         starts.append(total)
         total += sizes.get(t, 0)
     offset = F.get(F.lit(np.array(starts or [0], dtype=np.int64)), task)
-    indexed = staged.withColumn(column, offset + F.col(_POS).bitwiseAND(F.lit(_POS_MASK)))
+    position = offset + F.col(_POS).bitwiseAND(F.lit(_POS_MASK))
+    indexed = staged.withColumn(column, F.coalesce(position, F.lit(-1).cast("bigint")))
     return Indexed(indexed.drop(_POS), total, column)
 
 
@@ -72,30 +79,46 @@ def row_index_within(
     order_by: Sequence[str | Column],
     column: str = "row_idx",
     count_column: str | None = None,
+    group_column: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Like ``row_number() - 1`` per group, but a hot group stays spread out.
 
     Sorts by (groups, order), so each group is one contiguous run of the global
-    numbering and its local number is the distance from the run's first row.
+    numbering and its local number is the distance from the run's first row. That first
+    row also names the group: ``group_column`` returns it as a key that is never null.
     """
-    indexed = row_index(df, [*groups, *order_by], "__global")
-    runs = indexed.df.groupBy(*groups).agg(
-        F.min("__global").alias("__first"), F.count(F.lit(1)).alias("__size")
+    indexed = row_index(df, [*groups, *order_by], "__global", unique)
+    runs = stage(
+        indexed.df.groupBy(*groups).agg(
+            F.min("__global").alias("__run_start"), F.count(F.lit(1)).alias("__run_rows")
+        ),
+        "runs",
     )
-    out = join_on(indexed.df, runs, groups).withColumn(column, F.col("__global") - F.col("__first"))
+    start = F.coalesce(F.col("__run_start"), F.lit(-1).cast("bigint"))
+    extra = {column: F.col("__global") - start}
     if count_column:
-        out = out.withColumn(count_column, F.col("__size"))
-    return out.drop("__global", "__first", "__size")
+        extra[count_column] = F.col("__run_rows")
+    if group_column:
+        extra[group_column] = start
+    out = join_on(indexed.df, runs, groups).withColumns(extra)
+    return out.drop("__global", "__run_start", "__run_rows")
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Null-safe equi-join keeping the left key columns; Spark picks the strategy by size."""
+    """Null-safe equi-join keeping the left key columns; Spark picks the strategy by size.
+
+    A key the left side declares non-null is compared plainly, which lets the join reuse a
+    partitioning by that key.
+    """
     renamed = right
     for i, key in enumerate(keys):
         renamed = renamed.withColumnRenamed(key, f"__rk{i}")
     condition = F.lit(True)
     for i, key in enumerate(keys):
-        condition = condition & left[key].eqNullSafe(F.col(f"__rk{i}"))
+        other = F.col(f"__rk{i}")
+        same = left[key].eqNullSafe(other) if left.schema[key].nullable else left[key] == other
+        condition = condition & same
     return left.join(renamed, condition, how).drop(*[f"__rk{i}" for i in range(len(keys))])
 
 
@@ -136,20 +159,23 @@ def running_over(
     sums, maxes = dict(sums or {}), dict(maxes or {})
     columns = rows.columns
     rows = rows.withColumns({f"__v_{n}": e for n, e in {**sums, **maxes}.items()}).withColumn(
-        "__chunk", F.expr(f"`{idx}` div {int(chunk_rows)}")
+        "__chunk", F.coalesce(F.expr(f"`{idx}` div {int(chunk_rows)}"), F.lit(-1).cast("bigint"))
     )
     totals = rows.groupBy(*by, "__chunk").agg(
         *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums],
         *[F.max(f"__v_{n}").alias(f"__t_{n}") for n in maxes],
     )
     earlier = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *by,
-        "__chunk",
-        F.count(F.lit(1)).over(earlier).alias("__earlier"),
-        *[F.sum(f"__t_{n}").over(earlier).alias(f"__c_{n}") for n in sums],
-        *[F.max(f"__t_{n}").over(earlier).alias(f"__c_{n}") for n in maxes],
-    ).where("__earlier > 0")
+    carried = stage(
+        totals.select(
+            *by,
+            "__chunk",
+            F.count(F.lit(1)).over(earlier).alias("__earlier"),
+            *[F.sum(f"__t_{n}").over(earlier).alias(f"__c_{n}") for n in sums],
+            *[F.max(f"__t_{n}").over(earlier).alias(f"__c_{n}") for n in maxes],
+        ).where("__earlier > 0"),
+        "carried",
+    )
 
     end = Window.currentRow if inclusive else -1
     local = (

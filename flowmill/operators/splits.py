@@ -74,10 +74,13 @@ def split_stratified(
 ) -> DataFrame:
     """Random split that keeps class shares: per class floor(n v + 0.5) rows validate.
 
-    ``order_key`` is the repeatable random order (see ``seeded_order``).
+    ``order_key`` is the repeatable random order (see ``seeded_order``); ``tie`` is a unique
+    row key that completes it.
     """
     keyed = df.withColumn("__order", order_key)
-    placed = row_index_within(keyed, [label], ["__order", tie], "__rank", "__class_rows")
+    placed = row_index_within(
+        keyed, [label], ["__order", tie], "__rank", "__class_rows", unique=True
+    )
     quota = F.floor(F.col("__class_rows") * F.lit(float(val_ratio)) + F.lit(0.5))
     return placed.withColumn(
         "split", F.when(F.col("__rank") < quota, VAL).otherwise(rest)
@@ -91,7 +94,7 @@ def shuffle_within_split(
     """Give every row a new position inside its split, in a repeatable random order."""
     key = order_key if order_key is not None else seeded_order(seed, F.col(tie))
     keyed = df.drop(local).withColumn("__order", key)
-    return row_index_within(keyed, ["split"], ["__order", tie], local).drop("__order")
+    return row_index_within(keyed, ["split"], ["__order", tie], local, unique=True).drop("__order")
 
 
 def sample_with_replacement(
@@ -113,7 +116,7 @@ def sample_with_replacement(
     ``uniform(stream)`` maps a stream number (0: class, 1: row) to a column in [0, 1) over
     the draw number ``draw``; the default hashes it with the seed.
     """
-    numbered = row_index_within(df, [label], [order], "__pos", "__class_rows")
+    numbered = row_index_within(df, [label], [order], "__spot_of", "__class_rows")
     classes = {
         r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     }
@@ -149,10 +152,10 @@ def sample_with_replacement(
         .agg(F.count(F.lit(1)).cast("int").alias("__copies"))
     )
     drawn = numbered.join(
-        draws, (F.col(label) == F.col("__class")) & (F.col("__pos") == F.col("__spot"))
+        draws, (F.col(label) == F.col("__class")) & (F.col("__spot_of") == F.col("__spot"))
     )
     return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop(
-        "__class", "__spot", "__copies", "__pos", "__class_rows"
+        "__class", "__spot", "__copies", "__spot_of", "__class_rows"
     )
 
 

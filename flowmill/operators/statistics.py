@@ -160,10 +160,12 @@ def paired_signed_rank(
 
 def holm(tests: DataFrame, by: Sequence[str], p: str = "p_value", tie: Sequence[str] = ()) -> DataFrame:
     """Step-down adjusted p-values per family: ``p_holm`` and ``significant_0_05``."""
-    placed = row_index_within(tests, by, [p, *tie], "__rank", "__tests")
+    placed = row_index_within(tests, by, [p, *tie], "__rank", "__tests", "__family")
     step = F.least(F.lit(1.0), (F.col("__tests") - F.col("__rank")) * F.col(p))
-    adjusted = running_over(placed, by, "__rank", maxes={"p_holm": step})
-    return adjusted.withColumn("significant_0_05", F.col("p_holm") < 0.05).drop("__rank", "__tests")
+    adjusted = running_over(placed, ["__family"], "__rank", maxes={"p_holm": step})
+    return adjusted.withColumn("significant_0_05", F.col("p_holm") < 0.05).drop(
+        "__rank", "__tests", "__family"
+    )
 
 
 def best_and_stop_epoch(
@@ -182,10 +184,10 @@ def best_and_stop_epoch(
     rows = history.select(
         F.col(run).alias("run_id"), F.col(epoch).alias("epoch"), F.col(value).alias("v")
     )
-    placed = row_index_within(rows, ["run_id"], ["epoch"], "__i")
-    before = running_over(placed, ["run_id"], "__i", maxes={"__best": F.col("v")}, inclusive=False)
+    placed = row_index_within(rows, ["run_id"], ["epoch"], "__i", group_column="__run")
+    before = running_over(placed, ["__run"], "__i", maxes={"__best": F.col("v")}, inclusive=False)
     improved = F.when(F.col("__best").isNull() | (F.col("v") > F.col("__best")), F.col("__i"))
-    marked = running_over(before, ["run_id"], "__i", maxes={"__last": improved})
+    marked = running_over(before, ["__run"], "__i", maxes={"__last": improved})
     return marked.groupBy("run_id").agg(
         F.max_by("epoch", F.struct(F.col("v"), -F.col("__i"))).alias("best_epoch"),
         F.max("v").alias("best_value"),
@@ -206,7 +208,7 @@ def backfill_reference(
     candidate = reference.withColumns({"family": F.lit(family), **overrides})
     explicit = runs.where(F.col("family") == family).select(
         *[F.col(k).alias(f"__e{i}") for i, k in enumerate(keys)]
-    )
+    ).distinct()
     on = F.lit(True)
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__e{i}"))

@@ -50,7 +50,12 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/flowmill/{label}-{uuid.uuid4().hex}"
+    return f"{_app_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _app_root(spark: SparkSession) -> str:
+    # other applications may share the scratch folder
+    return f"{scratch_root(spark)}/flowmill/{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -58,6 +63,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage with a columnar table: a lost executor re-reads files
     instead of recomputing, and later readers prune columns and row groups.
+
+    It also gives the planner the real size of a lookup. The size of an aggregate is
+    unknown up front and taken to be that of its input, so a tiny side table would make
+    Spark shuffle the large side; a staged one is compared by file size with
+    ``spark.sql.autoBroadcastJoinThreshold``. Nothing in this library is broadcast by hint.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
@@ -65,7 +75,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Delete everything this library staged under the scratch root."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/flowmill")
+    """Delete everything this application staged under the scratch root."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_root(spark))
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -96,3 +96,34 @@ def test_plans_keep_every_exchange_partitioned(spark):
     out = running_over(df, ["g"], "i", maxes={"m": F.col("v")})
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan
+
+
+def test_equal_keys_do_not_meet_in_one_task(spark):
+    """A key shared by a third of the rows is still spread by the range sort."""
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    ix = row_index(df, ["k"])
+    rows = ix.df.where("k = 0").orderBy("row_idx")
+    assert [r.id for r in rows.take(3)] == [0, 3, 6]  # ties keep their input order
+    parts = ix.df.where("k = 0").select(F.col("_metadata.file_path").alias("f")).groupBy("f").count()
+    assert parts.count() >= 2
+
+
+def test_side_tables_have_a_known_size(spark):
+    df = row_index_within(_skewed(spark), ["g"], ["id"], "i", group_column="run")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    out = running_over(df, ["run"], "i", sums={"s": F.lit(1)}, chunk_rows=50)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_side_tables_join_on_the_window_partitioning(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = row_index_within(_skewed(spark, 3000), ["g"], ["id"], "i", group_column="run")
+        out = running_over(df, ["run"], "i", sums={"s": F.lit(1)}, chunk_rows=50)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # one exchange for the window, one for the carried sums, two for the group starts
+        assert plan.count("Exchange hashpartitioning") == 4
+        assert out.where("s <> i + 1").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

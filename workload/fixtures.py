@@ -94,7 +94,7 @@ def split_flows(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Flow rows in the order of ``id`` with their sequential split and position in it."""
     rows = flows(spark, sf)
     rows = rows.select("id", *[c for c in columns if c != "id"]) if columns else rows
-    return split_sequential(row_index(rows, ["id"]), VAL_RATIO)
+    return split_sequential(row_index(rows, ["id"], unique=True), VAL_RATIO)
 
 
 def duck(sql: str) -> str:
