@@ -40,7 +40,7 @@ def confusion_matrix(
     """Dense (y_true, y_pred, n) over the given labels, zeros kept."""
     listed = F.lit([int(x) for x in labels])
     grid = (
-        df.sparkSession.range(1)
+        df.sparkSession.range(0, 1, 1, 1)
         .select(F.explode(listed).alias("y_true"))
         .select("y_true", F.explode(listed).alias("y_pred"))
     )
@@ -133,7 +133,7 @@ def false_positive_rates(
 def class_report(counts: DataFrame, labels: Sequence[int]) -> DataFrame:
     """Per class precision, recall, F1 and support, then accuracy, macro and weighted rows."""
     present = _with_scores(class_counts(counts))
-    wanted = counts.sparkSession.range(1).select(
+    wanted = counts.sparkSession.range(0, 1, 1, 1).select(
         F.explode(F.lit([int(x) for x in labels])).alias("label")
     )
     cols = ["precision", "recall", "f1", "support"]

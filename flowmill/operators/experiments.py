@@ -67,7 +67,7 @@ def _family(
     ``path`` lists the SQL expressions of the path parts below the family; ``reuse`` is a
     condition under which a finished main run already covers the row.
     """
-    grid = spark.range(1).select(F.lit(family).alias("family"))
+    grid = spark.range(0, 1, 1, 1).select(F.lit(family).alias("family"))
     for name, values in dims.items():
         grid = grid.withColumn(name, F.explode(F.lit([str(v) for v in values])))
     for name, value in _DEFAULTS.items():

@@ -171,7 +171,7 @@ def split_guard(
     Absent splits count as 0 rows. With ``strict`` a violation raises.
     """
     present = split_sizes(df)
-    needed = df.sparkSession.range(1).select(F.explode(F.lit(list(splits))).alias("split"))
+    needed = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.lit(list(splits))).alias("split"))
     need = F.when(F.col("split") == TRAIN, F.greatest(F.lit(2), F.lit(seq_len))).otherwise(
         F.lit(seq_len)
     )

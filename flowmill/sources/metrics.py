@@ -62,6 +62,28 @@ def read_run_metrics(
     return _with_location(good.drop("_bad"), root, F.col("__path")).drop("__path")
 
 
+def read_efficiency(
+    spark: SparkSession, root: str, name: str = "efficiency.json",
+    schema: str | T.StructType | None = None, multi_line: bool = True,
+) -> DataFrame:
+    """Efficiency records below ``root`` with the nested ``inference`` object flattened.
+
+    Records of different models have different fields; without a schema Spark infers their
+    union. Unreadable files are skipped. Adds ``relative_path`` and ``family``.
+    """
+    reader = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", name)
+        .option("multiLine", multi_line)
+        .option("mode", "DROPMALFORMED")
+    )
+    raw = (reader if schema is None else reader.schema(schema)).json(root)
+    located = _with_location(
+        raw.select("*", F.col("_metadata.file_path").alias("__path")), root, F.col("__path")
+    ).drop("__path")
+    return flatten_struct(located, "inference") if "inference" in raw.columns else located
+
+
 def flatten_struct(df: DataFrame, column: str, depth: int = 2) -> DataFrame:
     """Replace a struct by ``column_key`` and ``column_key_subkey`` columns."""
 
@@ -149,3 +171,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
+
+
+def write_tables(
+    tables: dict[str, DataFrame], root: str, fmt: str = "parquet", mode: str = "errorifexists"
+) -> None:
+    """Write a set of named tables below one folder."""
+    for name, df in tables.items():
+        write_table(df, f"{root.rstrip('/')}/{name}", fmt, mode)

@@ -190,15 +190,14 @@ def feature_select_protocol(spark, sf):
 @query(
     "feature_select_task",
     f"""WITH {FLOWS_CTE}
-    SELECT 'binary' AS task, srcip, value_bucket, k, value_txt, NULL AS label FROM flows
-    UNION ALL SELECT 'multiclass', srcip, value_bucket, k, value_txt, NULL FROM flows""",
+    SELECT 'binary' AS task, srcip, value_bucket, k, value_txt FROM flows
+    UNION ALL SELECT 'multiclass', srcip, value_bucket, k, value_txt FROM flows""",
 )
 def feature_select_task(spark, sf):
     rows = flows(spark, sf).select("id", "attack_cat", "label", "srcip", "value_bucket", "k", "value_txt")
     binary = cleaning.features_for_task(rows, "unsw", "label", "binary")
     multi = cleaning.features_for_task(rows, "unsw", "attack_cat", "multiclass")
-    out = binary.withColumn("task", F.lit("binary")).unionByName(multi.withColumn("task", F.lit("multiclass")))
-    return out.withColumn("label", F.lit(None).cast("int"))
+    return binary.withColumn("task", F.lit("binary")).unionByName(multi.withColumn("task", F.lit("multiclass")))
 
 
 _NUM = "CASE WHEN isfinite(try_cast(value_txt AS DOUBLE)) THEN try_cast(value_txt AS DOUBLE) END"
