@@ -5,6 +5,7 @@ Every operator adds a ``split`` column instead of cutting the table into pieces.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from flowmill.functions.hashing import seeded_order
 from flowmill.functions.numeric import truncated
 from flowmill.operators.ordering import Indexed, row_index_within
+from flowmill.operators.quantiles import order_statistics
 
 TRAIN, VAL, TEST = "train", "val", "test"
 
@@ -74,17 +76,51 @@ def split_stratified(
 ) -> DataFrame:
     """Random split that keeps class shares: per class floor(n v + 0.5) rows validate.
 
-    ``order_key`` is the repeatable random order (see ``seeded_order``); ``tie`` is a unique
-    row key that completes it.
+    ``order_key`` is the repeatable random order (see ``seeded_order``) and ``tie`` a unique
+    numeric row key that completes it. The class quota is turned into a threshold on the
+    order key by exact selection, so the data rows are neither sorted nor shuffled: a few
+    narrow scans find the literals, and the split itself is a projection.
     """
-    keyed = df.withColumn("__order", order_key)
-    placed = row_index_within(
-        keyed, [label], ["__order", tie], "__rank", "__class_rows", unique=True
-    )
-    quota = F.floor(F.col("__class_rows") * F.lit(float(val_ratio)) + F.lit(0.5))
-    return placed.withColumn(
-        "split", F.when(F.col("__rank") < quota, VAL).otherwise(rest)
-    ).drop("__order", "__rank", "__class_rows")
+    keyed = df.withColumn("__order", order_key.cast("double"))
+    quotas = {}
+    for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect():
+        quotas[r[label]] = math.floor(r["n"] * float(val_ratio) + 0.5)
+    wanted = {c: q for c, q in quotas.items() if q > 0}
+
+    def pick(values: dict, ranks: dict) -> dict:
+        """The value at a rank, per class, of a per-class column expression."""
+        names = {c: f"__c{i}" for i, c in enumerate(values)}
+        wide = keyed.select(*[values[c].alias(names[c]) for c in values])
+        found = order_statistics(wide, {names[c]: [ranks[c]] for c in values})
+        row = wide.agg(F.count(F.lit(1)), *[found[n][0].alias(n) for n in names.values()]).first()
+        return {c: row[n] for c, n in names.items()}
+
+    validate = F.lit(False)
+    if wanted:
+        own = {c: F.col(label).eqNullSafe(F.lit(c)) for c in wanted}
+        limit = pick(
+            {c: F.when(own[c], F.col("__order")) for c in wanted}, {c: q - 1 for c, q in wanted.items()}
+        )
+        sides = keyed.agg(
+            *[
+                F.count_if(own[c] & (F.col("__order") < F.lit(limit[c]))).alias(f"below{i}")
+                for i, c in enumerate(wanted)
+            ]
+        ).first()
+        # rows that share the threshold value are told apart by their tie key
+        left = {c: wanted[c] - sides[f"below{i}"] - 1 for i, c in enumerate(wanted)}
+        last = pick(
+            {
+                c: F.when(own[c] & (F.col("__order") == F.lit(limit[c])), F.col(tie).cast("double"))
+                for c in wanted
+            },
+            left,
+        )
+        for c in wanted:
+            order, edge = F.col("__order"), F.lit(limit[c])
+            inside = (order < edge) | ((order == edge) & (F.col(tie).cast("double") <= F.lit(last[c])))
+            validate = validate | (own[c] & inside)
+    return keyed.withColumn("split", F.when(validate, VAL).otherwise(rest)).drop("__order")
 
 
 def shuffle_within_split(

@@ -2,6 +2,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowmill.functions import labels
@@ -132,6 +133,19 @@ def test_stratified_quotas(spark):
     assert val == {0: 135, 1: 15} and out.count() == 1000
 
 
+def test_stratified_ties_follow_the_tie_key(spark):
+    # every order key is shared by many rows, and a third of all rows share one
+    df = spark.range(3000).withColumn("y", (F.col("id") % 4 == 0).cast("int"))
+    order = F.expr("CASE WHEN id % 3 = 0 THEN 1 ELSE id % 5 END")
+    got = splits.split_stratified(df, "y", 0.15, order, "id")
+    w = Window.partitionBy("y").orderBy(order, "id")
+    want = df.select("id", (F.row_number().over(w) <= F.when(F.col("y") == 1, 113).otherwise(338)).alias("val"))
+    assert got.join(want, "id").where("(split = 'val') <> val").count() == 0
+    assert got.where("split = 'val'").count() == 451
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_shuffle_is_a_permutation_and_repeatable(spark):
     rows = _split(spark, 500)
     a = splits.shuffle_within_split(rows, seed=7)
