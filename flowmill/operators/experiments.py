@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,38 +53,33 @@ _COLUMNS = (
     "family", "dataset", "model", "variant", "seed", "seq_len", "leakage_protocol",
     "split_policy", "record_order", "parameter", "value", "output_path", "reuse_path",
 )
+_SCHEMA = ", ".join(f"{c} {'INT' if c in ('seed', 'seq_len') else 'STRING'}" for c in _COLUMNS)
 # Options of a run that no family overrides.
 _DEFAULTS = {
-    "variant": "full", "seq_len": str(BASE_WINDOW), "leakage_protocol": "clean",
+    "variant": "full", "seq_len": BASE_WINDOW, "leakage_protocol": "clean",
     "split_policy": "default", "record_order": "original", "parameter": None, "value": None,
 }
 
 
-def _family(
-    spark: SparkSession, family: str, path: str, reuse: str | None = None, **dims: Sequence
-) -> DataFrame:
+def _family(family: str, path: Sequence[str], reuse=None, **dims: Sequence) -> list[dict]:
     """All combinations of the given dimension values with the path of each run.
 
-    ``path`` lists the SQL expressions of the path parts below the family; ``reuse`` is a
-    condition under which a finished main run already covers the row.
+    ``path`` names the path parts below the family; ``reuse`` tells for a run whether a
+    finished main run already covers it.
     """
-    grid = spark.range(0, 1, 1, 1).select(F.lit(family).alias("family"))
-    for name, values in dims.items():
-        grid = grid.withColumn(name, F.explode(F.lit([str(v) for v in values])))
-    for name, value in _DEFAULTS.items():
-        if name not in dims:
-            grid = grid.withColumn(name, F.lit(value).cast("string"))
-    main_path = "concat_ws('/', 'main', dataset, model, concat('seed_', seed))"
-    return (
-        grid.withColumn("output_path", F.expr(f"concat_ws('/', family, {path}, concat('seed_', seed))"))
-        .withColumn("reuse_path", F.expr(f"CASE WHEN {reuse or 'false'} THEN {main_path} END"))
-        .withColumns({"seed": F.col("seed").cast("int"), "seq_len": F.col("seq_len").cast("int")})
-        .select(*_COLUMNS)
-    )
+    runs = []
+    for values in product(*dims.values()):
+        run = {**_DEFAULTS, "family": family, **dict(zip(dims, values))}
+        parts = [part.format(**run) for part in path]
+        run["output_path"] = "/".join([family, *parts, "seed_{seed}".format(**run)])
+        covered = reuse is not None and reuse(run)
+        run["reuse_path"] = "main/{dataset}/{model}/seed_{seed}".format(**run) if covered else None
+        runs.append(run)
+    return runs
 
 
 def plan_grid(spark: SparkSession, spec: GridSpec) -> DataFrame:
-    """Every run of every family, one row each.
+    """Every run of every family, one row each (as many as the parameters span).
 
     The first seed covers all models; the other seeds only the pre-chosen comparison set
     of a dataset (or all models on request). Ablation varies one arm over all seeds,
@@ -92,57 +88,44 @@ def plan_grid(spark: SparkSession, spec: GridSpec) -> DataFrame:
     """
     seeds, main = list(spec.seeds), [spec.main_model]
     first, rest, three = seeds[:1], seeds[1:], seeds[:3]
-    parts = [
-        _family(spark, "main", "dataset, model", dataset=spec.datasets, model=spec.models, seed=first)
-    ]
+    per_model = ["{dataset}", "{model}"]
+    runs = _family("main", per_model, dataset=spec.datasets, model=spec.models, seed=first)
     for dataset in spec.datasets:
         again = spec.models if spec.all_models_all_seeds else spec.repeated.get(dataset, [])
-        if rest and again:
-            parts.append(
-                _family(spark, "main", "dataset, model", dataset=[dataset], model=again, seed=rest)
-            )
-    parts += [
-        _family(
-            spark, "ablation", "dataset, variant",
-            dataset=spec.datasets, model=main, variant=ABLATION_VARIANTS, seed=seeds,
-        ),
-        _family(
-            spark, "window", "dataset, concat('L', seq_len)", f"seq_len = {BASE_WINDOW}",
-            dataset=spec.datasets, model=main, seq_len=spec.window_lengths, seed=first,
-        ),
-        _family(
-            spark, "order_sanity", "dataset, record_order", "record_order = 'original'",
-            dataset=spec.datasets, model=main, record_order=("original", "shuffled"), seed=first,
-        ),
-    ]
+        runs += _family("main", per_model, dataset=[dataset], model=again, seed=rest)
+    runs += _family(
+        "ablation", ["{dataset}", "{variant}"],
+        dataset=spec.datasets, model=main, variant=ABLATION_VARIANTS, seed=seeds,
+    )
+    runs += _family(
+        "window", ["{dataset}", "L{seq_len}"], lambda r: r["seq_len"] == BASE_WINDOW,
+        dataset=spec.datasets, model=main, seq_len=spec.window_lengths, seed=first,
+    )
+    runs += _family(
+        "order_sanity", ["{dataset}", "{record_order}"], lambda r: r["record_order"] == "original",
+        dataset=spec.datasets, model=main, record_order=("original", "shuffled"), seed=first,
+    )
     if spec.leakage_dataset:
         one = [spec.leakage_dataset]
-        parts.append(
-            _family(
-                spark, "leakage", "leakage_protocol, model", "leakage_protocol = 'clean'",
-                dataset=one, model=spec.leakage_models,
-                leakage_protocol=("clean", *LEAKAGE_PROTOCOLS), seed=three,
-            )
+        runs += _family(
+            "leakage", ["{leakage_protocol}", "{model}"], lambda r: r["leakage_protocol"] == "clean",
+            dataset=one, model=spec.leakage_models,
+            leakage_protocol=("clean", *LEAKAGE_PROTOCOLS), seed=three,
         )
         for parameter, values in HYPER_VALUES.items():
-            parts.append(
-                _family(
-                    spark, "hyper", "parameter, replace(value, '.', 'p')",
-                    f"value = '{HYPER_BASE[parameter]}'",
-                    dataset=one, model=main, parameter=[parameter], value=values, seed=first,
+            for value in values:
+                token = value.replace(".", "p")
+                runs += _family(
+                    "hyper", ["{parameter}", token],
+                    lambda r: r["value"] == HYPER_BASE[r["parameter"]],
+                    dataset=one, model=main, parameter=[parameter], value=[value], seed=first,
                 )
-            )
     if spec.temporal_dataset:
-        parts.append(
-            _family(
-                spark, "temporal", "model", dataset=[spec.temporal_dataset],
-                model=spec.temporal_models, split_policy=["day_holdout"], seed=first,
-            )
+        runs += _family(
+            "temporal", ["{model}"], dataset=[spec.temporal_dataset], model=spec.temporal_models,
+            split_policy=["day_holdout"], seed=first,
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return spark.createDataFrame([tuple(r[c] for c in _COLUMNS) for r in runs], _SCHEMA)
 
 
 def plan_pending(plan: DataFrame, finished: DataFrame, force: bool = False) -> DataFrame:
