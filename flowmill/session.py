@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_KEPT_UNTIL_EXIT: set[str] = set()
 
 
 def local_session(app_name: str = "flowmill", cores: str = "*", **conf: str) -> SparkSession:
@@ -45,12 +44,21 @@ def scratch_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="flowmill-")
-        atexit.register(shutil.rmtree, _LOCAL_SCRATCH[app], ignore_errors=True)
     return _LOCAL_SCRATCH[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{_app_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the scratch area.
+
+    The area is removed when the application's JVM ends; :func:`drop_staged` does it earlier.
+    """
+    root = _app_root(spark)
+    if root not in _KEPT_UNTIL_EXIT:
+        fs, path = _file_system(spark, root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _KEPT_UNTIL_EXIT.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def _app_root(spark: SparkSession) -> str:
@@ -58,6 +66,11 @@ def _app_root(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/flowmill/{spark.sparkContext.applicationId}"
 
 
+def _file_system(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -75,6 +88,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Delete everything this application staged under the scratch root."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_root(spark))
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Delete everything this application staged so far."""
+    root = _app_root(spark)
+    fs, path = _file_system(spark, root)
+    fs.delete(path, True)
+    _KEPT_UNTIL_EXIT.discard(root)

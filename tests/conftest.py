@@ -12,7 +12,7 @@ TESTDATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", "8")
+    session = local_session("tests", "8", spark__sql__shuffle__partitions="4")
     # several tasks per sort even for small tables, so slices and carries are exercised
     session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield session
