@@ -32,7 +32,7 @@ def test_medians_narrow_to_the_exact_value(spark, n):
     # a coarse sketch and a tiny limit force several narrowing rounds
     got = {
         r.feature: r.median
-        for r in quantiles.medians(df, ["a", "b", "c", "d"], accuracy=50, gather_limit=5).collect()
+        for r in quantiles.medians(df, ["a", "b", "c", "d"], sketch_size=64, gather_limit=5).collect()
     }
     for i, c in enumerate("abd"):
         values = [r["abcd".index(c)] for r in rows if r["abcd".index(c)] is not None]
@@ -44,7 +44,7 @@ def test_median_with_a_hot_value_next_to_the_middle(spark):
     # a third of the rows share one value; the middle falls right beside the block
     values = [0.0] * 334 + [float(i) for i in range(1, 668)]
     df = spark.createDataFrame([(v,) for v in values], "a double")
-    got = quantiles.medians(df, ["a"], accuracy=50, gather_limit=3).first().median
+    got = quantiles.medians(df, ["a"], sketch_size=64, gather_limit=3).first().median
     assert got == statistics.median(values)
 
 
