@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from flowmill.llm.pieces import Remembered, binary_array, letter_edges, row_slices, whole
+from flowmill.llm.text import _WHITE
+
 _END = 1 << 60
 
 #: The pre-split of byte-level vocabularies.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A coarser cut that no piece of the pre-split crosses: a run without white space, with one blank before it.
-_CHUNK = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -37,9 +37,60 @@ def byte_symbols() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(other)}}
 
 
+def _rare_rows(data: np.ndarray, ends: np.ndarray, marks: list[bytes]) -> np.ndarray:
+    """Rows with white space beyond the six ASCII characters, or with a special token."""
+    a, b, c = data[:-2], data[1:-1], data[2:]
+    odd = np.zeros(len(data), bool)
+    odd |= (data >= 0x1C) & (data <= 0x1F)
+    if len(data) >= 2:
+        odd[:-1] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+    if len(data) >= 3:
+        odd[:-2] |= (a == 0xE1) & (((b == 0x9A) & (c == 0x80)) | ((b == 0xA0) & (c == 0x8E)))
+        odd[:-2] |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8B) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        odd[:-2] |= (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+        odd[:-2] |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    at = list(np.flatnonzero(odd))
+    text = data.tobytes()
+    for mark in marks:
+        found = text.find(mark)
+        while found >= 0:
+            at.append(found)
+            found = text.find(mark, found + 1)
+    return np.unique(np.searchsorted(ends, np.array(at, np.int64), side="right") - 1)
+
+
+def _chunks(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Pieces that no word of the pre-split crosses, and their number per row.
+
+    A run of other characters takes one blank before it along; what white space is left before a
+    run falls in two, all but its last character and that one; at the end of a text it is one piece.
+    Holds where all white space is ASCII.
+    """
+    white = _WHITE[data]
+    size = len(data)
+    last = np.zeros(size + 1, bool)
+    last[ends] = True  # a row begins here, or all ends
+    change = np.ones(size + 1, bool)
+    change[1:-1] = white[1:] != white[:-1]
+    change |= last
+    edges = np.flatnonzero(change)
+    begin, end = edges[:-1], edges[1:]
+    blank = white[begin] if size else np.zeros(0, bool)
+    begin, end = begin[blank], end[blank]
+    inner = ~last[end]  # more of the text follows
+    cut = change.copy()
+    cut[end[inner & (data[end - 1] == 32)]] = False
+    cut[(end - 1)[inner & (end - begin >= 2)]] = True
+    cut |= last | letter_edges(data)
+    cuts = np.flatnonzero(cut)
+    if not size:
+        return binary_array(data, np.zeros(1, np.int64)), np.zeros(len(ends) - 1, np.int64)
+    return binary_array(data, cuts), np.diff(np.searchsorted(cuts, ends))
+
+
 class Automaton:
-    def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]], limit: int = 300_000):
-        """``labels``: bytes per id; ``merges``: (left, right, joined) by rank; ``limit``: words remembered."""
+    def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]], limit: int = 1_000_000):
+        """``labels``: bytes per id; ``merges``: (left, right, joined) by rank; ``limit``: table entries kept."""
         self.labels = labels
         self.rank = {}
         for rank, (a, b, joined) in enumerate(merges):
@@ -62,7 +113,10 @@ class Automaton:
         self.more = prefixes
         self.table: dict[tuple[int, int], bool] = {}
         self.limit = limit
-        self.words: dict[str, tuple[int, ...]] = {}
+        #: The next shorter arc that reads a prefix of an arc's label.
+        self.shorter = {}
+        for label, token in self.arcs.items():
+            self.shorter[token] = next((self.arcs[label[:i]] for i in range(len(label) - 1, 0, -1) if label[:i] in self.arcs), -1)
 
     def _meets(self, a: int, b: int, before: int) -> bool:
         """No gadget of a lower rank joins across the border of ``a`` and ``b``."""
@@ -78,33 +132,49 @@ class Automaton:
         known = self.table.get((state, token))
         if known is None:
             known = self._meets(state, token, _END)
-            if len(self.table) > 4 * self.limit:
+            if len(self.table) > self.limit:
                 self.table.clear()
             self.table[state, token] = known
         return known
 
-    def path(self, word: bytes) -> tuple[int, ...]:
-        """The tokens of the one accepted path that spells ``word``."""
-        size, arcs, more = len(word), self.arcs, self.more
-        state: list[int] = [-1] * (size + 1)
-        for at in range(size):
-            before = state[at]
-            if at and before < 0:
+    def longest(self, word: bytes, at: int) -> int:
+        """The longest arc that reads on from ``at``."""
+        arcs, more, size = self.arcs, self.more, len(word)
+        found, to = -1, at + 1
+        while True:
+            piece = word[at:to]
+            found = arcs.get(piece, found)
+            if to == size or piece not in more:
+                return found
+            to += 1
+
+    def path(self, word: bytes) -> list[int]:
+        """The tokens of the one accepted path that spells ``word``.
+
+        Longest arcs first; the state at a place is the same on every path to it, so a place that
+        was left for want of an arc is never entered again.
+        """
+        size, labels, shorter = len(word), self.labels, self.shorter
+        out: list[int] = []
+        if not size:
+            return out
+        closed: set[int] = set()
+        at, token = 0, self.longest(word, 0)
+        while True:
+            to = at + len(labels[token])
+            if to not in closed and (not out or self.follows(out[-1], token)):
+                out.append(token)
+                at = to
+                if at == size:
+                    return out
+                token = self.longest(word, at)
                 continue
-            to = at + 1
-            while True:
-                piece = word[at:to]
-                token = arcs.get(piece, -1)
-                if token >= 0 and (not at or self.follows(before, token)):
-                    state[to] = token
-                if to == size or piece not in more:
-                    break
-                to += 1
-        out, at = [], size
-        while at:
-            out.append(state[at])
-            at -= len(self.labels[state[at]])
-        return tuple(out[::-1])
+            token = shorter[token]
+            while token < 0:
+                closed.add(at)
+                token = out.pop()
+                at -= len(labels[token])
+                token = shorter[token]
 
 
 class Codec:
@@ -126,26 +196,38 @@ class Codec:
         self.labels = labels
         self.split = regex.compile(PRE_SPLIT)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.seen = Remembered(lambda pieces: [self.piece(p.decode()) for p in pieces])
 
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a run without inner white space."""
-        path = self.automaton.path
-        ids = tuple(chain.from_iterable(path(word.encode()) for word in self.split.findall(chunk)))
-        if len(self.seen) < self.automaton.limit and len(chunk) < 64:
-            self.seen[chunk] = ids
-        return ids
+    def piece(self, piece: str) -> list[int]:
+        """Ids of text that ends where the pre-split cuts."""
+        path, out = self.automaton.path, []
+        for word in self.split.findall(piece):
+            out += path(word.encode())
+        return out
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> list[int]:
         parts = self.marks.split(text) if self.marks and any(m in text for m in self.special) else (text,)
-        out: list[tuple[int, ...]] = []
-        seen, slow = self.seen, self.chunk
+        out: list[int] = []
         for i, part in enumerate(parts):
-            if i % 2:
-                out.append((self.special[part],))
-            else:
-                out += [seen.get(c) or slow(c) for c in _CHUNK.findall(part)]
-        return np.fromiter(chain.from_iterable(out), np.int32)
+            out += [self.special[part]] if i % 2 else self.piece(part)
+        return out
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, offsets of the texts in them)."""
+        data, ends = whole(column)
+        rare = _rare_rows(data, ends, [m.encode() for m in self.special])
+        pieces, per_row = _chunks(data, ends)
+        ids, size = self.seen.of(pieces)
+        offsets = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(per_row))]
+        if not len(rare):
+            return ids, offsets
+        parts, lengths = [], np.diff(offsets)
+        at = 0
+        for row in rare:
+            parts += [ids[offsets[at] : offsets[row]], np.array(self.encode(column[int(row)].as_py()), np.int32)]
+            lengths[row] = len(parts[-1])
+            at = row + 1
+        return np.concatenate([*parts, ids[offsets[at] :]]), np.append(0, np.cumsum(lengths))
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.labels.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -165,12 +247,11 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids")
     def run(batches):
         coder = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [coder.encode(x or "") for x in part.column(part.schema.get_field_index(text)).to_pylist()]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, flat)], names=[*part.schema.names, ids])
+            column = batch.column(batch.schema.get_field_index(text))
+            for a, b in row_slices(column):
+                part = batch.slice(a, b - a)
+                flat, ends = coder.encode_column(column.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends.astype(np.int32), flat)], names=[*part.schema.names, ids])
 
     return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))]))
 

@@ -19,6 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from flowmill.llm.pieces import Remembered, binary_array, letter_edges, row_slices, whole
+from flowmill.llm.text import _WHITE, LOWER
+
 END_ID = 2
 
 
@@ -34,47 +37,63 @@ def tokenizer(path: str):
 
 
 class Ids:
-    """Ids of texts for a vocabulary that drops white space: each run between blanks stands alone,
-    so the runs of a batch that were not seen yet are encoded together and remembered."""
-
-    def __init__(self, path: str, limit: int = 300_000):
-        self.tokenizer, self.limit = tokenizer(path), limit
-        self.seen: dict[bytes, tuple[int, ...]] = {}
-
-    def of(self, texts: list[bytes]) -> list[np.ndarray]:
-        runs = [t.split() for t in texts]
-        seen = self.seen
-        new = list({r for run in runs for r in run if r not in seen})
-        fresh: dict[bytes, tuple[int, ...]] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for run, coded in zip(part, self.tokenizer.encode_batch([r.decode() for r in part], add_special_tokens=False), strict=True):
-                fresh[run] = tuple(coded.ids)
-        if len(seen) < self.limit:
-            seen.update(fresh)
-            fresh = seen
-        else:
-            fresh = _Both(seen, fresh)
-        out = []
-        for run in runs:
-            flat: list[int] = []
-            extend = flat.extend
-            for r in run:
-                extend(fresh[r])
-            flat.append(END_ID)
-            out.append(np.array(flat, np.uint32))
-        return out
-
+    """Ids of texts for a lower-case vocabulary that drops white space and ends words by a mark.
 
-class _Both(dict):
-    """Looks into the remembered runs first, then into those of this batch."""
+    Each run between blanks stands alone, and so do letters and punctuation in it.
+    """
 
-    def __init__(self, seen: dict, fresh: dict):
-        super().__init__(fresh)
-        self.seen = seen
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(1 + max(vocab.values()), bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.seen = Remembered(self.encode)
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        texts = [p.decode() for p in pieces]
+        out: list[list[int]] = [[]] * len(texts)
+        # a piece of letters is one word: many are encoded as one text and parted at the word ends
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        other = [i for i, t in enumerate(texts) if not t.isalpha() and t.strip(" \t\n\v\f\r")]
+        encode = self.tokenizer.encode_batch_fast
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            ids = np.array(encode([" ".join(texts[i] for i in part)], add_special_tokens=False)[0].ids, np.int64)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(part):  # letters of which normal forms make something else
+                other += part
+                continue
+            flat, start = ids.tolist(), 0
+            for i, end in zip(part, last.tolist(), strict=True):
+                out[i] = flat[start:end]
+                start = end
+        for at in range(0, len(other), 512):
+            part = other[at : at + 512]
+            for i, coded in zip(part, encode([texts[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = coded.ids
+        return out
 
-    def __missing__(self, run):
-        return self.seen[run]
+    def of(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text with the end id; a null is an empty text."""
+        data, ends = whole(column)
+        marked = data.tobytes().find(b"<|") >= 0
+        if len(data):
+            data = LOWER[data]
+            white = _WHITE[data]
+            cut = letter_edges(data)
+            cut[1:-1] |= white[1:] != white[:-1]
+            cut[ends] = cut[0] = cut[-1] = True
+            cuts = np.flatnonzero(cut)
+        else:
+            cuts = np.zeros(1, np.int64)
+        ids, size = self.seen.of(binary_array(data, cuts))
+        offset = np.append(0, np.cumsum(size))[np.searchsorted(cuts, ends)]
+        out = [np.append(ids[a:b], END_ID).astype(np.uint32) for a, b in zip(offset[:-1], offset[1:], strict=True)]
+        if marked:  # special tokens are found in the text as it is
+            for i, text in enumerate(column.to_pylist()):
+                if text and "<|" in text:
+                    out[i] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], np.uint32)
+        return out
 
 
 def capacities(total: int, size: int) -> list[int]:
@@ -148,9 +167,9 @@ def pack(
         first = TaskContext.get().partitionId() << 32
         keys, ids, tokens = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = coder.of([x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()])
+            for a, b in row_slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                found = coder.of(part.column(1))
                 for row, one in zip(part.column(0).to_pylist(), found, strict=True):
                     keys.append(row)
                     ids.append(one)
