@@ -132,6 +132,8 @@ def answer_repeats(batches):
     shared[order[:-1][same]] = True
     shared &= ~m
     at = np.flatnonzero(shared)
+    if not len(at):
+        return
     at = at[np.lexsort((w[at], o[at]))]
     sources, first = np.unique(o[at], return_index=True)
     for src, part in zip(sources.tolist(), np.split(at, first[1:]), strict=True):

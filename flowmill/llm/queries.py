@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import bpe, chat, packing, quality_classifier, quality_rules, secret_scan, spotsigs
+from flowmill.llm import (
+    bpe,
+    chat,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    spotsigs,
+    substring_dedup,
+    suffix_tree,
+)
+from flowmill.llm.columns import words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +29,11 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words(F.col("text")), " "), 256).alias("kept_sha256"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     saying = "</s>[INST] ok [/INST]"
     more = [(-7, 0, "user", saying), (-7, 1, "assistant", saying)]
@@ -38,6 +55,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = suffix_tree.suffix_tree_scores(docs, _remainder(5) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(
@@ -48,6 +71,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = _remainder(4) == 2
@@ -83,8 +111,26 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_chat_format, op3_secret_scan, op5_bpe, op7_quality_classifier, op8_quality_rules, op9_packing, op10_spotsigs)
+    for f in (
+        op1_substring_dedup,
+        op2_chat_format,
+        op3_secret_scan,
+        op4_suffix_tree,
+        op5_bpe,
+        op6_near_dedup,
+        op7_quality_classifier,
+        op8_quality_rules,
+        op9_packing,
+        op10_spotsigs,
+        pipeline,
+    )
 }
 ORACLES: dict[str, str] = {}

@@ -71,7 +71,7 @@ def _ramp(lengths: np.ndarray) -> np.ndarray:
 
 
 def strings(out: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each symbol with its five predecessors as one number, and its row."""
+    """Each symbol with its predecessors as one number, and its row."""
     wide = out.astype(np.uint64)
     key = wide[DEPTH:].copy()
     for d in range(1, DEPTH + 1):
@@ -188,11 +188,11 @@ def _answers(pairs: np.ndarray):
         for batch in batches:
             for src, kind, payload in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 keys, times = unpack(payload)
-                parts[kind].append((keys, times, np.full(len(keys), src, np.int32)))
+                parts[kind].append((keys, times, src))
         for kind, found in parts.items():
             if not found:
                 continue
-            keys, times, src = map(np.concatenate, zip(*found, strict=True))
+            keys, times = (np.concatenate([x[i] for x in found]) for i in (0, 1))
             unique, inverse = np.unique(keys, return_inverse=True)
             total = np.bincount(inverse, times, len(unique))
             if kind == _WORDS:
@@ -200,10 +200,10 @@ def _answers(pairs: np.ndarray):
                 yield replies([(-1, _STATS, int((total > 0).sum()), b"")])
             else:
                 value = tree_scores(unique, total, pairs)
-            order = np.lexsort((keys, src))
-            sources, first = np.unique(src[order], return_index=True)
-            for one, part in zip(sources.tolist(), np.split(order, first[1:]), strict=True):
-                yield replies([(one, kind, 0, pack(keys[part], value[inverse[part]]))])
+            at = 0
+            for part, _, src in found:
+                yield replies([(src, kind, 0, pack(part, value[inverse[at : at + len(part)]]))])
+                at += len(part)
 
     return run
 

@@ -1,6 +1,6 @@
 """Numpy views of texts inside a task: words, their hashes and hashes of runs of words.
 
-Texts are joined into one byte buffer per slice of about a megabyte (a longer text is a slice of
+Texts are joined into one byte buffer per slice of about half a megabyte (a longer text is a slice of
 its own), so temporary arrays stay small whatever the batch.
 """
 
@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
