@@ -40,6 +40,7 @@ DEPTH = 5
 PAD, END = 0xFD, 0xFE
 SYMBOLS = 256
 _WORDS, _STRINGS, _STATS = 0, 1, 2
+_GATHER = 1 << 19
 
 
 def stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +129,10 @@ def _questions(table: pa.Table, src: int, text: str, count: int) -> pa.Table:
         counts = train[a:b]
         for kind, values, rows in ((_WORDS, word_hashes(words), words.row), (_STRINGS, *strings(*stream(words)))):
             codes, unique = pd.factorize(values)
-            found[kind].append((unique, np.bincount(codes, counts[rows], len(unique))))
+            parts = found[kind]
+            parts.append((unique, np.bincount(codes, counts[rows], len(unique))))
+            if sum(len(x) for x, _ in parts[1:]) > _GATHER:  # merge before much has gathered
+                parts[:] = [_grouped(*map(np.concatenate, zip(*parts, strict=True)))]
     rows = []
     for kind, parts in found.items():
         if not parts:
