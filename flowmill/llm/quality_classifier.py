@@ -101,8 +101,11 @@ class Model:
         return out
 
 
-def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, *, dim: int = 16, epochs: int = 6, rate: float = 0.6, seed: int = 7) -> Model:
-    """Fit bucket vectors and the two output vectors; the order of rows is fixed by the seed."""
+def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, *, dim: int = 16, epochs: int = 6, least_steps: int = 8000, rate: float = 0.6, seed: int = 7) -> Model:
+    """Fit bucket vectors and the two output vectors; the order of rows is fixed by the seed.
+
+    Few rows are gone through more often, until there were ``least_steps`` steps.
+    """
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (2 << LOG_BUCKETS, dim)).astype(np.float32) / dim
     output = np.zeros((2, dim), np.float32)
@@ -112,6 +115,7 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, *, dim: i
         _, bucket = features([text])
         used, times = np.unique(bucket, return_counts=True)
         sparse.append((used.astype(np.int32), (times / (times.sum() + SHRINK)).astype(np.float32)))
+    epochs = max(epochs, -(-least_steps // len(texts)))
     steps, done = epochs * len(texts), 0
     for _ in range(epochs):
         for i in rng.permutation(len(texts)):
@@ -140,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, key: str = "doc_i
     a label, text or key are not used. Without any labelled row of a class every score is that of
     the class prior.
     """
-    marked = labels.where("quality IS NOT NULL").groupBy(key).agg(F.min("quality").cast("int").alias("quality"))
+    marked = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").cast("int").alias("quality"))
     rows = docs.select(F.col(key), F.col(text).alias("text")).where(F.col(key).isNotNull() & F.col("text").isNotNull() & usable)
     chosen, sizes = [], []
     keyed = marked.where(usable)
