@@ -176,10 +176,13 @@ def roc_auc(
     positive: Column | None = None,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact ROC AUC, ties at half; null when only one class occurs."""
+    """Exact ROC AUC, ties at half; null when only one class occurs.
+
+    Rows without a truth or a score are left out, here as in :func:`threshold_metrics`.
+    """
     hit = F.col("y_true") == 1 if positive is None else positive
     totals = rank_totals(
-        df, by, score, hits=hit.cast("int"), mass=F.when(hit, 0).otherwise(1)
+        df.where(hit.isNotNull() & F.col(score).isNotNull()), by, score, hits=hit.cast("int"), mass=F.when(hit, 0).otherwise(1)
     )
     return _auc_of(totals, by)
 
@@ -228,6 +231,7 @@ def threshold_metrics(
     "attack-as-positive FPR".
     """
     truth = F.col(y_true) == 1
+    df = df.where(truth.isNotNull() & F.col(score).isNotNull())
     if with_auc:
         # one grouping by score serves both the counts and the ranking
         scores = df.groupBy(*by, F.col(score).alias("__score")).agg(

@@ -31,7 +31,16 @@ def align_predictions(a: DataFrame, b: DataFrame, key: str = "row_id") -> DataFr
 def alignment_report(
     a: DataFrame, b: DataFrame, key: str = "row_id", strict: bool = False
 ) -> DataFrame:
-    """Counts of matched rows, rows of one side only, and rows whose truths differ."""
+    """Counts of matched rows, rows of one side only, and rows whose truths differ.
+
+    Keys must be unique per table, as k copies on both sides would match k * k times; ``strict``
+    refuses repeated keys as well as any misalignment.
+    """
+    if strict:
+        for name, side in (("first", a), ("second", b)):
+            repeated = side.groupBy(key).count().where("count > 1").limit(1).collect()
+            if repeated:
+                raise ValueError(f"the {name} prediction table repeats the key {repeated[0][0]!r}")
     left = a.select(F.col(key).alias("__ka"), F.col("y_true").alias("__ya"))
     right = b.select(F.col(key).alias("__kb"), F.col("y_true").alias("__yb"))
     both = F.col("__ka").isNotNull() & F.col("__kb").isNotNull()

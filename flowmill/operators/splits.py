@@ -109,16 +109,17 @@ def split_stratified(
         ).first()
         # rows that share the threshold value are told apart by their tie key
         left = {c: wanted[c] - sides[f"below{i}"] - 1 for i, c in enumerate(wanted)}
-        last = pick(
-            {
-                c: F.when(own[c] & (F.col("__order") == F.lit(limit[c])), F.col(tie).cast("double"))
-                for c in wanted
-            },
-            left,
-        )
+        # in two halves, as a DOUBLE holds 32 bits of a BIGINT exactly but not all 64
+        key = F.col(tie).cast("bigint")
+        high, low = F.shiftright(key, 32).cast("double"), key.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")
+        tied = {c: own[c] & (F.col("__order") == F.lit(limit[c])) for c in wanted}
+        top = pick({c: F.when(tied[c], high) for c in wanted}, left)
+        under = keyed.agg(*[F.count_if(tied[c] & (high < F.lit(top[c]))).alias(f"under{i}") for i, c in enumerate(wanted)]).first()
+        rest_of = {c: left[c] - under[f"under{i}"] for i, c in enumerate(wanted)}
+        last = pick({c: F.when(tied[c] & (high == F.lit(top[c])), low) for c in wanted}, rest_of)
         for c in wanted:
-            order, edge = F.col("__order"), F.lit(limit[c])
-            inside = (order < edge) | ((order == edge) & (F.col(tie).cast("double") <= F.lit(last[c])))
+            edge, step = F.lit(top[c]), F.lit(last[c])
+            inside = (F.col("__order") < F.lit(limit[c])) | (tied[c] & ((high < edge) | ((high == edge) & (low <= step))))
             validate = validate | (own[c] & inside)
     return keyed.withColumn("split", F.when(validate, VAL).otherwise(rest)).drop("__order")
 

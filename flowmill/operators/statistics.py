@@ -110,7 +110,8 @@ def paired_signed_rank(
     with tie correction; differences that are all close to zero give (0, 1). Differences are
     rounded to ``digits`` so that representation noise does not split ties.
     """
-    exact_max = min(exact_max, EXACT_MAX_PAIRS)
+    if exact_max > EXACT_MAX_PAIRS:
+        raise ValueError(f"the exact distribution is tabulated for up to {EXACT_MAX_PAIRS} pairs")
     diffs = (
         pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
         .select(*by, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))

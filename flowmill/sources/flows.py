@@ -20,8 +20,8 @@ from flowmill.operators.cleaning import clean_column_names, clean_drop_invalid
 
 ORDER_COLUMNS = ["_file", "_offset", "_position"]
 
-# Patterns of an integer that fits 64 bits and of any number.
-_INTEGER = r"^[+-]?[0-9]{1,18}$"
+# Patterns of an integer of any size and of any number.
+_INTEGER = r"^[+-]?[0-9]+$"
 _REAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?([iI]nf|[iI]nfinity)$"
 # Cell texts that CSV tools commonly write for a missing value.
 MISSING_TOKENS = [
@@ -82,11 +82,18 @@ def _read_csv(
     return clean_column_names(df.select(*cells, *_order_columns()))
 
 
+def _fits(cell: Column) -> Column:
+    """Whether a cell is an integer of 64 bits."""
+    whole = F.when(F.rlike(cell, F.lit(_INTEGER)), cell)
+    return whole.isNotNull() & whole.try_cast("bigint").isNotNull()
+
+
 def infer_types(df: DataFrame, keep: Sequence[str] = tuple(ORDER_COLUMNS)) -> DataFrame:
     """Text columns whose every value is a number become BIGINT or DOUBLE.
 
-    One aggregation over all columns decides; a column without values stays text. Cells are
-    tested by pattern, because a failing cast raises and catches an error per cell.
+    One aggregation over all columns decides; a column without values stays text, and so does one
+    with an integer beyond 64 bits, which a DOUBLE would blur. Cells are tested by pattern first,
+    because a failing cast raises and catches an error per cell.
     """
     texts = [
         f.name for f in df.schema.fields
@@ -99,8 +106,8 @@ def infer_types(df: DataFrame, keep: Sequence[str] = tuple(ORDER_COLUMNS)) -> Da
         cell = F.trim(F.col(f"`{c}`"))
         tests += [
             F.count(cell).alias(f"n{i}"),
-            F.count_if(F.rlike(cell, F.lit(_INTEGER))).alias(f"i{i}"),
-            F.count_if(F.rlike(cell, F.lit(_REAL))).alias(f"d{i}"),
+            F.count_if(_fits(cell)).alias(f"i{i}"),
+            F.count_if(_fits(cell) | (F.rlike(cell, F.lit(_REAL)) & ~F.rlike(cell, F.lit(_INTEGER)))).alias(f"d{i}"),
         ]
     seen = df.agg(*tests).first()
     casts = {}

@@ -46,10 +46,14 @@ def read_run_metrics(
 ) -> DataFrame:
     """Every record below ``root``; unreadable files are skipped.
 
+    Only broken JSON is unreadable: scalar fields are read as text and then cast, so a number
+    written as text counts and a value of another kind is null in an otherwise whole record.
     Adds ``relative_path`` and ``family``, the first part of it.
     """
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    with_bad = T.StructType([*fields.fields, T.StructField("_bad", T.StringType())])
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    read_as = [f if isinstance(f.dataType, nested) else T.StructField(f.name, T.StringType()) for f in fields.fields]
+    with_bad = T.StructType([*read_as, T.StructField("_bad", T.StringType())])
     raw = (
         spark.read.schema(with_bad)
         .option("recursiveFileLookup", True)
@@ -59,7 +63,11 @@ def read_run_metrics(
         .json(root)
     )
     good = raw.select("*", F.col("_metadata.file_path").alias("__path")).where("_bad IS NULL")
-    return _with_location(good.drop("_bad"), root, F.col("__path")).drop("__path")
+    cells = [
+        F.col(f"`{f.name}`") if isinstance(f.dataType, nested) else F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name)
+        for f in fields.fields
+    ]
+    return _with_location(good.select(*cells, "__path"), root, F.col("__path")).drop("__path")
 
 
 def read_efficiency(
