@@ -27,7 +27,7 @@ def load_splits(
     paths: Sequence[str],
     val_ratio: float = 0.15,
     policy: str = "default",
-    schema: T.StructType | None = None,
+    schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """Clean rows with ``split`` and the position ``split_idx`` inside it.
 

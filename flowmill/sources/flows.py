@@ -23,6 +23,7 @@ ORDER_COLUMNS = ["_file", "_offset", "_position"]
 # Patterns of an integer of any size and of any number.
 _INTEGER = r"^[+-]?[0-9]+$"
 _REAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?([iI]nf|[iI]nfinity)$"
+_INFINITE = r"^[+-]?([iI]nf|[iI]nfinity)$"
 # Cell texts that CSV tools commonly write for a missing value.
 MISSING_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -61,25 +62,79 @@ def _order_columns() -> list[Column]:
     ]
 
 
+def _header_groups(
+    spark: SparkSession, paths: Sequence[str], encoding: str | None, same_header: bool
+) -> list[tuple[str, list[str]]]:
+    """Files that share an encoding and a header line, as (encoding, files).
+
+    One scan of the text combines both per file before its shuffle; the driver gets one short row
+    per file, which it has to list anyway. Files without a line of text are left out.
+    """
+    files = [unquote(f) for f in spark.read.text(list(paths)).inputFiles()]
+    if encoding is not None and (same_header or len(files) == 1):
+        return [(encoding, sorted(files))]
+    lines = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("position"),
+    )
+    heading = F.when(F.length(F.trim("value")) > 0, F.struct("start", "position"))
+    seen = lines.groupBy("f").agg(
+        F.min_by(F.md5("value"), heading).alias("heading"), F.bool_or(~F.is_valid_utf8("value")).alias("latin")
+    )
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in seen.where("heading IS NOT NULL").collect():
+        charset = encoding or ("ISO-8859-1" if r["latin"] else "UTF-8")
+        groups.setdefault((charset, "" if same_header else r["heading"]), []).append(unquote(r["f"]))
+    if not groups:
+        return [(encoding or "UTF-8", files)]
+    return sorted(((charset, sorted(members)) for (charset, _), members in groups.items()), key=lambda g: g[1])
+
+
 def _read_csv(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None, header: bool,
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None, header: bool,
     encoding: str = "UTF-8",
 ) -> DataFrame:
-    """Rows with their order columns; missing-value tokens are null and header names clean.
+    """Rows as text with their order columns; missing-value tokens are null and header names clean.
 
-    Without a schema every cell is read as text and :func:`infer_types` picks the types.
+    Files with a header are read by name: a schema picks its columns, whatever their place in the
+    file, and a file without one of them is refused. Without a header a schema names the columns.
     """
     reader = spark.read.option("header", header).option("encoding", encoding)
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.csv(paths if isinstance(paths, str) else list(paths))
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    fields = _fields(schema)
+    if fields is not None and not header:
+        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in fields]))
+    df = clean_column_names(reader.csv(paths if isinstance(paths, str) else list(paths)).select("*", *_order_columns()))
+    names = [c for c in df.columns if c not in ORDER_COLUMNS]
+    if fields is not None:
+        absent = [f.name for f in fields if f.name not in names]
+        if absent:
+            raise ValueError(f"columns {absent} are not in the header of {paths}")
+        names = [f.name for f in fields]
+    cells = [F.when(~F.trim(F.col(f"`{c}`")).isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in names]
+    return df.select(*cells, *ORDER_COLUMNS)
+
+
+def _fields(schema: T.StructType | str | None) -> list[T.StructField] | None:
+    if schema is None:
+        return None
+    return (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+
+
+def _clean_and_type(df: DataFrame, schema: T.StructType | str | None) -> DataFrame:
+    """Rows without a missing or infinite cell, then typed.
+
+    A cell that is there but does not fit its type becomes null and its row stays.
+    """
+    fields = _fields(schema)
+    if fields is None:
+        return clean_drop_invalid(infer_types(df), keep=ORDER_COLUMNS)
+    numbers = {f.name for f in fields if isinstance(f.dataType, T.NumericType)}
     cells = [
-        F.when(~F.trim(F.col(f"`{c}`")).isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c)
-        if c in texts else F.col(f"`{c}`")
+        F.when(~F.rlike(F.trim(F.col(f"`{c}`")), F.lit(_INFINITE)), F.col(f"`{c}`")).alias(c) if c in numbers else F.col(f"`{c}`")
         for c in df.columns
     ]
-    return clean_column_names(df.select(*cells, *_order_columns()))
+    whole = clean_drop_invalid(df.select(*cells), keep=ORDER_COLUMNS)
+    return whole.withColumns({f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in fields})
 
 
 def _fits(cell: Column) -> Column:
@@ -121,26 +176,35 @@ def infer_types(df: DataFrame, keep: Sequence[str] = tuple(ORDER_COLUMNS)) -> Da
 
 
 def read_custom(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None,
-    ordered: bool = False,
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None,
+    ordered: bool = False, same_header: bool = False,
 ) -> DataFrame:
-    """Any CSV with a header; invalid rows are dropped. Pass a schema to avoid inference."""
-    df = _read_csv(spark, paths, schema, header=True)
-    if schema is None:
-        df = infer_types(df)
-    df = clean_drop_invalid(df, keep=ORDER_COLUMNS)
+    """Any CSV with a header; rows with a missing value are dropped. Pass a schema to avoid inference.
+
+    Several files need not have their columns in the same order; finding out takes a scan of the
+    text, which ``same_header`` saves.
+    """
+    df = _clean_and_type(_read_by_name(spark, paths, schema, "UTF-8", same_header), schema)
     return df if ordered else df.drop(*ORDER_COLUMNS)
 
 
+def _read_by_name(spark, paths, schema, encoding, same_header) -> DataFrame:
+    out = None
+    for charset, members in _header_groups(spark, [paths] if isinstance(paths, str) else paths, encoding, same_header):
+        df = _read_csv(spark, members, schema, True, charset)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def read_fixed_schema(
-    spark: SparkSession, train: str, test: str, schema: T.StructType | None = None
+    spark: SparkSession, train: str, test: str, schema: T.StructType | str | None = None
 ) -> DataFrame:
     """A headerless train and test file with a known schema, tagged by ``part``."""
     return _pair(spark, train, test, schema or nsl_schema(), header=False)
 
 
 def read_train_test(
-    spark: SparkSession, train: str, test: str, schema: T.StructType | None = None
+    spark: SparkSession, train: str, test: str, schema: T.StructType | str | None = None
 ) -> DataFrame:
     """An official train and test file with a header, tagged by ``part``."""
     return _pair(spark, train, test, schema, header=True)
@@ -149,60 +213,34 @@ def read_train_test(
 def _pair(spark, train, test, schema, header) -> DataFrame:
     parts = []
     for part, path in (("train", train), ("test", test)):
-        df = _read_csv(spark, path, schema, header)
-        if schema is None:
-            df = infer_types(df)
-        df = clean_drop_invalid(df, keep=ORDER_COLUMNS)
-        parts.append(df.withColumn("part", F.lit(part)))
+        if header:
+            df = _read_by_name(spark, path, schema, "UTF-8", False)
+        else:
+            df = _read_csv(spark, path, schema, False)
+        parts.append(_clean_and_type(df, schema).withColumn("part", F.lit(part)))
     return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
-def files_not_utf8(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
-    """Files that hold a line which is not valid UTF-8 (the text source keeps raw bytes)."""
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
-    bad = lines.select("value", F.col("_metadata.file_path").alias("f"))
-    bad = bad.where(~F.is_valid_utf8("value")).select("f").distinct()
-    return [r["f"] for r in bad.collect()]
-
-
 def read_multi_file(
-    spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None,
-    per_file_clean: bool = False, encoding: str | None = None,
+    spark: SparkSession, paths: Sequence[str], schema: T.StructType | str | None = None,
+    per_file_clean: bool = False, encoding: str | None = None, same_header: bool = False,
 ) -> DataFrame:
-    """Several CSV files as one table in alphabetical file order.
+    """Several CSV files as one table; ``ORDER_COLUMNS`` put them in alphabetical file order.
 
-    Files that are not UTF-8 are read as Latin-1; finding them takes one more scan of the
-    text, which a known ``encoding`` saves. Without a schema every file contributes
-    its own columns; a column a file lacks is null there, and cleaning after the union then
-    drops that file's rows, while ``per_file_clean`` keeps them.
+    Files that are not UTF-8 are read as Latin-1. Files with the same encoding and header line are
+    one scan; finding the groups takes one more scan of the text, which a known ``encoding``
+    together with ``same_header`` saves. Without a schema every file contributes its own columns; a
+    column a file lacks is null there, and cleaning after the union then drops that file's rows,
+    while ``per_file_clean`` keeps them.
     """
-    groups: dict[str, list[str]] = {}
-    if encoding is not None:
-        groups[encoding] = sorted(paths)
-    else:
-        latin = {_plain_path(p) for p in files_not_utf8(spark, list(paths))}
-        for p in sorted(paths):
-            found = "ISO-8859-1" if _plain_path(p) in latin else "UTF-8"
-            groups.setdefault(found, []).append(p)
-
-    frames = []
-    for charset, members in groups.items():
-        # with a schema all files of an encoding are one scan; without, headers may differ
-        for batch in [members] if schema is not None else [[m] for m in members]:
-            df = _read_csv(spark, batch, schema, True, charset)
-            if per_file_clean:
-                df = clean_drop_invalid(df if schema is not None else infer_types(df), ORDER_COLUMNS)
-            frames.append(df)
+    groups = _header_groups(spark, list(paths), encoding, same_header)
+    frames = [_read_csv(spark, members, schema, True, charset) for charset, members in groups]
+    if per_file_clean:
+        frames = [_clean_and_type(df, schema) for df in frames]
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
-    if per_file_clean:
-        return out
-    return clean_drop_invalid(out if schema is not None else infer_types(out), keep=ORDER_COLUMNS)
-
-
-def _plain_path(path: str) -> str:
-    return unquote(path.split("://")[-1].removeprefix("file:")).rstrip("/")
+    return out if per_file_clean else _clean_and_type(out, schema)
 
 
 def chronological_rank(df: DataFrame, file_name: str = "_file") -> DataFrame:

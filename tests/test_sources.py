@@ -29,6 +29,23 @@ def test_multi_file_order_encoding_and_extra_columns(spark, tmp_path):
     assert flows.read_multi_file(spark, paths, per_file_clean=True).count() == 5
 
 
+def test_columns_are_bound_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y,z\n1,u,7\n2,v,8\n")
+    (tmp_path / "b.csv").write_text("y,x\nw,3\nq,oops\nr,inf\n,5\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    want = [("q", None), ("u", 1.0), ("v", 2.0), ("w", 3.0)]
+    for df in (
+        flows.read_multi_file(spark, paths, "y STRING, x DOUBLE"),
+        flows.read_multi_file(spark, paths, "y STRING, x DOUBLE", encoding="UTF-8"),
+        flows.read_custom(spark, str(tmp_path), "y STRING, x DOUBLE"),
+    ):
+        assert sorted((r.y, r.x) for r in df.collect()) == want
+    pair = flows.read_train_test(spark, *paths, "y STRING, x DOUBLE")
+    assert sorted((r.part, r.y, r.x) for r in pair.collect()) == [("test", "q", None), ("test", "w", 3.0), ("train", "u", 1.0), ("train", "v", 2.0)]
+    with pytest.raises(ValueError, match="z"):
+        flows.read_multi_file(spark, paths, "x DOUBLE, z INT")
+
+
 def test_record_order_survives_split_files(spark, tmp_path):
     spark.range(20_000).coalesce(1).write.option("header", True).csv(str(tmp_path / "f"))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16000")
