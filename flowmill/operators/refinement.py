@@ -31,24 +31,32 @@ def align_predictions(a: DataFrame, b: DataFrame, key: str = "row_id") -> DataFr
 def alignment_report(
     a: DataFrame, b: DataFrame, key: str = "row_id", strict: bool = False
 ) -> DataFrame:
-    """Counts of matched rows, rows of one side only, and rows whose truths differ.
+    """Counts of keys on both sides or on one only, with differing truths, and repeated keys.
 
-    Keys must be unique per table, as k copies on both sides would match k * k times; ``strict``
-    refuses repeated keys as well as any misalignment.
+    Each side is reduced to one row per key before they meet, so repeated keys do not multiply;
+    ``align_predictions`` needs unique ones, and ``strict`` refuses repeated keys as well as any
+    misalignment.
     """
     if strict:
         for name, side in (("first", a), ("second", b)):
             repeated = side.groupBy(key).count().where("count > 1").limit(1).collect()
             if repeated:
                 raise ValueError(f"the {name} prediction table repeats the key {repeated[0][0]!r}")
-    left = a.select(F.col(key).alias("__ka"), F.col("y_true").alias("__ya"))
-    right = b.select(F.col(key).alias("__kb"), F.col("y_true").alias("__yb"))
-    both = F.col("__ka").isNotNull() & F.col("__kb").isNotNull()
-    report = left.join(right, F.col("__ka") == F.col("__kb"), "full_outer").agg(
+
+    def per_key(side: DataFrame, tag: str) -> DataFrame:
+        rows = side.groupBy(F.col(key).alias(f"__k{tag}"))
+        return rows.agg(
+            F.count(F.lit(1)).alias(f"__n{tag}"), F.min("y_true").alias(f"__lo{tag}"), F.max("y_true").alias(f"__hi{tag}")
+        )
+
+    both = F.col("__na").isNotNull() & F.col("__nb").isNotNull()
+    same = F.col("__loa").eqNullSafe(F.col("__lob")) & F.col("__hia").eqNullSafe(F.col("__hib"))
+    report = per_key(a, "a").join(per_key(b, "b"), F.col("__ka") == F.col("__kb"), "full_outer").agg(
         F.count_if(both).alias("matched"),
-        F.count_if(F.col("__kb").isNull()).alias("only_first"),
-        F.count_if(F.col("__ka").isNull()).alias("only_second"),
-        F.count_if(both & ~F.col("__ya").eqNullSafe(F.col("__yb"))).alias("y_true_mismatch"),
+        F.count_if(F.col("__nb").isNull()).alias("only_first"),
+        F.count_if(F.col("__na").isNull()).alias("only_second"),
+        F.count_if(both & ~same).alias("y_true_mismatch"),
+        F.count_if((F.coalesce("__na", F.lit(0)) > 1) | (F.coalesce("__nb", F.lit(0)) > 1)).alias("duplicate_keys"),
     )
     if strict:
         r = report.first()

@@ -54,7 +54,7 @@ def nsl_schema() -> T.StructType:
     return T.StructType(fields)
 
 
-def _order_columns() -> list[Column]:
+def order_columns() -> list[Column]:
     return [
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_offset"),
@@ -103,7 +103,7 @@ def _read_csv(
     fields = _fields(schema)
     if fields is not None and not header:
         reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in fields]))
-    df = clean_column_names(reader.csv(paths if isinstance(paths, str) else list(paths)).select("*", *_order_columns()))
+    df = clean_column_names(reader.csv(paths if isinstance(paths, str) else list(paths)).select("*", *order_columns()))
     names = [c for c in df.columns if c not in ORDER_COLUMNS]
     if fields is not None:
         absent = [f.name for f in fields if f.name not in names]

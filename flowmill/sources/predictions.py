@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowmill.operators.ordering import row_index
+from flowmill.sources.flows import ORDER_COLUMNS, order_columns
+
 REQUIRED = ("y_true", "y_prob")
 
 
@@ -41,12 +44,21 @@ def validate_predictions(df: DataFrame, strict: bool = False) -> DataFrame:
 def read_predictions(
     spark: SparkSession, path: str, key: str | None = "row_id", fmt: str = "csv", strict: bool = True
 ) -> DataFrame:
-    """Read, check and type a prediction table."""
+    """Read, check and type a prediction table.
+
+    A table without the key column gets it from the place of its rows: 0, 1, ... in order of file
+    name and place in the file, so tables of equal length match row by row. ``key=None`` adds none.
+    """
     raw = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
-    raw = raw.toDF(*[c.replace("﻿", "") for c in raw.columns])
+    names = [c.replace("\ufeff", "") for c in raw.columns]
+    if key and key not in names:
+        placed = raw.select("*", *order_columns()).toDF(*names, *ORDER_COLUMNS)
+        raw = row_index(placed, ORDER_COLUMNS, key, unique=True).df
+    else:
+        raw = raw.toDF(*names)
     if strict:
         validate_predictions(raw, strict=True)
-    keys = [F.col(key).cast("bigint").alias(key)] if key and key in raw.columns else []
+    keys = [F.col(key).cast("bigint").alias(key)] if key else []
     rest = [F.col("y_pred").cast("int")] if "y_pred" in raw.columns else []
     return raw.select(
         *keys, F.col("y_true").cast("int"), F.col("y_prob").cast("double"), *rest

@@ -30,6 +30,7 @@ def test_repeated_keys_are_refused(spark):
     rows = spark.createDataFrame([(1, 0, 0.5), (1, 0, 0.5), (2, 1, 0.5)], "row_id long, y_true int, y_prob double")
     with pytest.raises(ValueError, match="repeats the key 1"):
         alignment_report(rows, rows, strict=True)
+    assert tuple(alignment_report(rows, rows).first()) == (2, 0, 0, 0, 1)
 
 
 def test_missing_truths_count_nowhere(spark):

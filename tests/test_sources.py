@@ -87,6 +87,15 @@ def test_prediction_columns_required(spark):
         predictions.validate_predictions(spark.range(1))
 
 
+def test_prediction_key_from_place(spark, tmp_path):
+    path = str(tmp_path / "p")
+    rows = spark.range(500).selectExpr("CAST(id % 2 AS INT) AS y_true", "id / 500D AS y_prob", "0 AS y_pred", "id")
+    predictions.write_predictions(rows.repartitionByRange(4, "id").sortWithinPartitions("id").drop("id"), path)
+    got = predictions.read_predictions(spark, path).collect()
+    assert {(r.row_id, r.y_prob) for r in got} == {(i, i / 500) for i in range(500)}
+    assert predictions.read_predictions(spark, path, key=None).columns == ["y_true", "y_prob", "y_pred"]
+
+
 def test_run_metrics_skip_unreadable(spark, tmp_path):
     for rel, text in {
         "main/d/mlp/seed_1/metrics.json": json.dumps({"accuracy": 0.5, "seed": 1}, indent=2),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from flowmill.functions import probability
 from flowmill.operators import audit, evaluation, refinement
 from flowmill.plans.refine import refine
+from flowmill.session import scratch_path
+from flowmill.sources import predictions as prediction_files
 from workload.fixtures import FLOWS_CTE, PREDS_CTE, SPLIT_CTE, flows, preds, r6, split_flows, table
 from workload.registry import registry
 
@@ -295,7 +297,8 @@ _SIDE_B = """SELECT CASE WHEN row_id % 173 = 1 THEN -row_id ELSE row_id END AS r
     "join_prediction_align",
     f"""WITH {PREDS_CTE}, a AS ({_SIDE_A}), b AS ({_SIDE_B})
     SELECT count(*) FILTER (a.row_id IS NOT NULL AND b.row_id IS NOT NULL) AS matched, count(*) FILTER (b.row_id IS NULL) AS only_first,
-    count(*) FILTER (a.row_id IS NULL) AS only_second, count(*) FILTER (a.y_true <> b.y_true) AS y_true_mismatch FROM a FULL JOIN b ON a.row_id=b.row_id""",
+    count(*) FILTER (a.row_id IS NULL) AS only_second, count(*) FILTER (a.y_true <> b.y_true) AS y_true_mismatch,
+    (SELECT count(DISTINCT row_id) FROM (SELECT row_id, count(*) AS n FROM a GROUP BY row_id UNION ALL SELECT row_id, count(*) FROM b GROUP BY row_id) WHERE n > 1) AS duplicate_keys FROM a FULL JOIN b ON a.row_id=b.row_id""",
 )
 def join_prediction_align(spark, sf):
     rows = preds(spark, sf)
@@ -374,6 +377,19 @@ def refine_test_metrics(spark, sf):
     return _rounded(refine(*_sides(spark, sf, "val"), *_sides(spark, sf, "test"))["metrics"])
 
 
+@query("refine_from_files", ORACLES["refine_test_metrics"])
+def refine_from_files(spark, sf):
+    """Both models' three-column files, written in row order and matched by their places."""
+    sides = []
+    for split in ("val", "test"):
+        for side in _sides(spark, sf, split):
+            path = scratch_path(spark, "side")
+            placed = side.orderBy("row_id").withColumn("y_pred", probability.at_threshold(F.col("y_prob"), 0.5))
+            prediction_files.write_predictions(placed.select("y_true", "y_prob", "y_pred"), path)
+            sides.append(prediction_files.read_predictions(spark, path))
+    return _rounded(refine(*sides)["metrics"])
+
+
 # --- leakage audits -----------------------------------------------------------
 
 _KEYS = "coalesce(srcip,'<MISSING>') AS srcip, value_bucket, k"

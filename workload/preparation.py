@@ -554,24 +554,31 @@ def data_info(spark, sf):
     return sequence.data_info(split_flows(spark, sf, "y"), "y", SEQ_LEN)
 
 
-def _dependence_sql(stride: int) -> str:
-    return f"""SELECT CAST({stride} AS BIGINT) AS stride, count(*) AS windows, 0::BIGINT AS cross_split_windows,
+def _dependence_sql(scope: str, stride: int) -> str:
+    """Windows inside splits, or over all rows: those that start in another split than they end are mixed."""
+    end, idx = (_END, "split_idx") if scope == "split" else (f"row_idx >= {SEQ_LEN - 1}", "row_idx")
+    mixed = "0::BIGINT" if scope == "split" else f"count(*) FILTER (split <> (SELECT split FROM prep q WHERE q.row_idx = prep.row_idx - {SEQ_LEN - 1}))"
+    return f"""SELECT '{scope}' AS scope, CAST({stride} AS BIGINT) AS stride, count(*) AS windows, {mixed} AS cross_split_windows,
     {max(SEQ_LEN - stride, 0)}::BIGINT AS shared_rows, {max(SEQ_LEN - stride, 0)}/{SEQ_LEN}::DOUBLE AS shared_fraction
-    FROM prep WHERE {_END} AND (split_idx-{SEQ_LEN - 1}) % {stride} = 0"""
+    FROM prep WHERE {end} AND ({idx}-{SEQ_LEN - 1}) % {stride} = 0"""
 
 
 @query(
     "audit_window_dependence",
-    f"WITH {SPLIT_CTE} " + " UNION ALL ".join(_dependence_sql(s) for s in (1, 4, 20)),
+    f"WITH {SPLIT_CTE} " + " UNION ALL ".join(_dependence_sql(scope, s) for scope in ("split", "whole") for s in (1, 4, 20)),
 )
 def audit_window_dependence(spark, sf):
+    """Windows of each split mix none; windows over the unsplit row order mix at every boundary."""
     rows = split_flows(spark, sf)
+    whole = rows.withColumn("origin", F.col("split")).withColumn("split", F.lit("all"))
     out = None
     for stride in (1, 4, 20):
-        part = sequence.window_dependence(rows, SEQ_LEN, stride).select(
-            F.lit(stride).cast("bigint").alias("stride"), "*"
-        )
-        out = part if out is None else out.unionByName(part)
+        for scope, found in (
+            ("split", sequence.window_dependence(rows, SEQ_LEN, stride)),
+            ("whole", sequence.window_dependence(whole, SEQ_LEN, stride, "origin", "row_idx")),
+        ):
+            part = found.select(F.lit(scope).alias("scope"), F.lit(stride).cast("bigint").alias("stride"), "*")
+            out = part if out is None else out.unionByName(part)
     return out
 
 
