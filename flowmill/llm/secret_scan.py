@@ -10,19 +10,14 @@ are verified with the expression itself. A rule without mandatory trigrams scans
 from __future__ import annotations
 
 from dataclasses import dataclass
+from re import _constants as sre  # the parser of the standard library, under its name since 3.11
+from re import _parser as sre_parse
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.llm.columns import lower_ascii
 
-try:  # the parser of the standard library, under its name since 3.11
-    from re import _constants as sre
-    from re import _parser as sre_parse
-except ImportError:
-    import sre_constants as sre
-    import sre_parse
-
 
 @dataclass(frozen=True)
 class Rule:
