@@ -29,29 +29,25 @@ MISSING_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-# Column names of the headerless nsl files, in order; * marks text.
-NSL_COLUMNS = """
-duration protocol_type* service* flag* src_bytes dst_bytes land wrong_fragment urgent hot
-num_failed_logins logged_in num_compromised root_shell su_attempted num_root
-num_file_creations num_shells num_access_files num_outbound_cmds is_host_login
-is_guest_login count srv_count serror_rate srv_serror_rate rerror_rate srv_rerror_rate
-same_srv_rate diff_srv_rate srv_diff_host_rate dst_host_count dst_host_srv_count
-dst_host_same_srv_rate dst_host_diff_srv_rate dst_host_same_src_port_rate
-dst_host_srv_diff_host_rate dst_host_serror_rate dst_host_srv_serror_rate
-dst_host_rerror_rate dst_host_srv_rerror_rate label* difficulty
-""".split()
+# Column names of the headerless nsl files, in order, and those that hold text.
+NSL_COLUMNS = [
+    "duration", "protocol_type", "service", "flag", "src_bytes", "dst_bytes", "land",
+    "wrong_fragment", "urgent", "hot", "num_failed_logins", "logged_in", "num_compromised",
+    "root_shell", "su_attempted", "num_root", "num_file_creations", "num_shells",
+    "num_access_files", "num_outbound_cmds", "is_host_login", "is_guest_login", "count",
+    "srv_count", "serror_rate", "srv_serror_rate", "rerror_rate", "srv_rerror_rate",
+    "same_srv_rate", "diff_srv_rate", "srv_diff_host_rate", "dst_host_count",
+    "dst_host_srv_count", "dst_host_same_srv_rate", "dst_host_diff_srv_rate",
+    "dst_host_same_src_port_rate", "dst_host_srv_diff_host_rate", "dst_host_serror_rate",
+    "dst_host_srv_serror_rate", "dst_host_rerror_rate", "dst_host_srv_rerror_rate", "label",
+    "difficulty",
+]
+NSL_TEXT = ["protocol_type", "service", "flag", "label"]
 
 
 def nsl_schema() -> T.StructType:
-    fields = []
-    for name in NSL_COLUMNS:
-        if name.endswith("*"):
-            fields.append(T.StructField(name[:-1], T.StringType()))
-        elif name == "difficulty":
-            fields.append(T.StructField(name, T.IntegerType()))
-        else:
-            fields.append(T.StructField(name, T.DoubleType()))
-    return T.StructType(fields)
+    other = {name: T.StringType() for name in NSL_TEXT} | {"difficulty": T.IntegerType()}
+    return T.StructType([T.StructField(name, other.get(name, T.DoubleType())) for name in NSL_COLUMNS])
 
 
 def order_columns() -> list[Column]:
