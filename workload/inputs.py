@@ -131,6 +131,23 @@ def source_json_flatten(spark, sf):
     return records.flatten_struct(parsed, "inference")
 
 
+@query("source_efficiency", ORACLES["source_json_flatten"])
+def source_efficiency(spark, sf):
+    """Records written as files, nested and flat ones and broken lines, read back by their reader."""
+    root = scratch_path(spark, "efficiency")
+    events = table(spark, sf, "events")
+    document = F.concat(
+        F.lit('{"id":'), "event_id", F.lit(',"inference":{"batch_1":{"k":'), F.get_json_object("props", "$.k"),
+        F.lit(',"device":"'), "event_type", F.lit('"},"macs":'), F.col("event_id") * 2, F.lit("}}"),
+    )
+    broken = F.lit('{"id": 1, "inference"')
+    lines = events.select(F.explode(F.when(F.col("event_id") % 10 == 0, F.array(document, broken)).otherwise(F.array(document))).alias("value"))
+    lines.write.text(f"{root}/main/batch")
+    schema = "id BIGINT, inference STRUCT<batch_1: STRUCT<k: INT, device: STRING>, macs: BIGINT>"
+    read = records.read_efficiency(spark, root, "*.txt", schema, multi_line=False)
+    return read.select("id", "inference_batch_1_k", "inference_batch_1_device", "inference_macs")
+
+
 def _prediction_rows(spark, sf):
     return preds(spark, sf).selectExpr("row_id", "y_true", "p_a AS y_prob", "CAST(p_a >= 0.5D AS INT) AS y_pred")
 
