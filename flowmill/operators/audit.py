@@ -1,8 +1,9 @@
 """Leakage audits: duplicates, overlap between splits, label conflicts, order dependence.
 
-Rows are compared on their feature values themselves, not on a hash of them. One
-grouping by the features answers the duplicate, overlap and conflict questions together,
-and identical rows combine on the map side, however many there are.
+Rows are compared on their feature values themselves. A 128-bit digest goes first: a row
+whose digest occurs once is distinct, so only rows with a repeated digest are grouped by
+value. One such grouping answers the duplicate, overlap and conflict questions together, and
+identical rows combine on the map side, however many there are.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowmill.functions.hashing import MISSING, comparable
+from flowmill.functions.hashing import MISSING, comparable, row_hash
 from flowmill.functions.numeric import ratio
 from flowmill.operators.ordering import row_index_within
+from flowmill.session import stage
 
 SPLITS = ("train", "val", "test")
 PAIRS = (("train", "val"), ("train", "test"), ("val", "test"))
@@ -34,19 +36,29 @@ def feature_groups(
     splits: Sequence[str] = SPLITS,
     split: str = "split",
 ) -> DataFrame:
-    """One row per distinct feature row: rows per split and the label range."""
-    keys = comparable(df, features)
+    """One row per distinct feature row: rows per split and the label range.
+
+    The features themselves are not returned. Digests of all rows are shuffled, feature rows
+    only where a digest repeats; those are told apart by their values, so the result is exact.
+    """
     label_range = (
         [F.min("__y").alias("y_min"), F.max("__y").alias("y_max")] if label is not None else []
     )
+    sums = [F.count_if(F.col("__split") == s).alias(f"n_{s}") for s in splits] + label_range
+    values = [f"__f{i}" for i in range(len(features))]
     tagged = df.select(
-        *keys,
+        row_hash(df, features).alias("__h0"),
+        row_hash(df, features, salt=1).alias("__h1"),
         F.col(split).alias("__split"),
         *([F.col(label).alias("__y")] if label is not None else []),
+        *[c.alias(v) for c, v in zip(comparable(df, features), values)],
     )
-    return tagged.groupBy(*features).agg(
-        *[F.count_if(F.col("__split") == s).alias(f"n_{s}") for s in splits], *label_range
-    )
+    digests = tagged.groupBy("__h0", "__h1").agg(F.count(F.lit(1)).alias("__rows"), *sums)
+    digests = stage(digests, "digests")
+    single = digests.where("__rows = 1").drop("__h0", "__h1", "__rows")
+    repeated = digests.where("__rows > 1").select("__h0", "__h1")
+    compared = tagged.join(repeated, ["__h0", "__h1"], "left_semi").groupBy(*values).agg(*sums)
+    return single.unionByName(compared.drop(*values))
 
 
 def duplicate_summary(groups: DataFrame, splits: Sequence[str] = SPLITS) -> DataFrame:
