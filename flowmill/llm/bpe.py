@@ -13,7 +13,8 @@ vocabulary never meets. Decoding emits the byte labels of the arcs.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ from flowmill.llm.text import _WHITE
 
 _END = 1 << 60
 
+#: Rows decoded and handed on together.
+ROWS = 512
+
 #: The pre-split of byte-level vocabularies.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -189,8 +193,8 @@ class Codec:
         labels = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in vocab.items():
             labels[i] = bytes(symbols[c] for c in token)
-        merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])]
-        self.automaton = Automaton(labels, merges)
+        self._merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])]
+        self._spelled = list(labels)
         for token, i in self.special.items():
             labels[i] = token.encode()
         self.labels = labels
@@ -198,6 +202,11 @@ class Codec:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.seen = Remembered(lambda pieces: [self.piece(p.decode()) for p in pieces])
 
+    @cached_property
+    def automaton(self) -> Automaton:
+        """Compiled on first use: decoding needs the labels alone."""
+        return Automaton(self._spelled, self._merges)
+
     def piece(self, piece: str) -> list[int]:
         """Ids of text that ends where the pre-split cuts."""
         path, out = self.automaton.path, []
@@ -239,6 +248,28 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _encoded(coder: Codec, batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of a batch with the ids of their texts."""
+    column = batch.column(batch.schema.get_field_index(text))
+    for a, b in row_slices(column):
+        flat, ends = coder.encode_column(column.slice(a, b - a))
+        yield batch.slice(a, b - a), pa.ListArray.from_arrays(ends.astype(np.int32), flat)
+
+
+def _decoded(coder: Codec, column: pa.Array) -> pa.Array:
+    column = column.fill_null([])
+    flat, ends = column.flatten().to_numpy(), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+    return pa.array([coder.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+
+
+def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+
+
+def _ids_field(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.IntegerType(), False))
+
+
 def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with an array of token ids; a null text is empty and has none. ``path`` is the
     vocabulary file, present on every machine. A column of that name is replaced."""
@@ -247,13 +278,10 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids")
     def run(batches):
         coder = codec(path)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            for a, b in row_slices(column):
-                part = batch.slice(a, b - a)
-                flat, ends = coder.encode_column(column.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends.astype(np.int32), flat)], names=[*part.schema.names, ids])
+            for part, found in _encoded(coder, batch, text):
+                yield _with(part, **{ids: found})
 
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))]))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, _ids_field(ids)]))
 
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -263,16 +291,24 @@ def decode(encoded: DataFrame, path: str, *, ids: str = "ids", decoded: str = "d
     def run(batches):
         coder = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                column = part.column(part.schema.get_field_index(ids)).fill_null([])
-                flat, ends = column.flatten().to_numpy(), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
-                texts = [coder.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, decoded])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield _with(part, **{decoded: _decoded(coder, part.column(part.schema.get_field_index(ids)))})
 
     return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(decoded, T.StringType())]))
 
 
-def encode_decode(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
-    """Both directions, one after the other."""
-    return decode(encode(docs, path, text=text), path)
+def encode_decode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both directions in one pass: the ids of a slice are decoded where they were made."""
+    own = docs.drop(ids, decoded)
+
+    def run(batches):
+        coder = codec(path)
+        for batch in batches:
+            for part, found in _encoded(coder, batch, text):
+                for at in range(0, part.num_rows, ROWS):
+                    some = found.slice(at, ROWS)
+                    yield _with(part.slice(at, ROWS), **{ids: some, decoded: _decoded(coder, some)})
+
+    fields = [*own.schema.fields, _ids_field(ids), T.StructField(decoded, T.StringType())]
+    return own.mapInArrow(run, T.StructType(fields))
