@@ -319,3 +319,15 @@ def test_pipeline(spark, sf):
         assert docs.columns == corpus_pipeline.COLUMNS and 0 < docs.count() <= before
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     assert docs.select("doc_id").distinct().count() == before
+
+
+def test_bpe_one_pass_replaces_clashing_columns(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [None, "", "a", "<|endoftext|> x", "don't  \n\t stop" * 400, "é　ß 12", *["same"] * 1500]
+    rows = [(i, t, [7], "old") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids array<int>, decoded string")
+    one = {r.doc_id: (r.ids, r.decoded) for r in bpe.encode_decode(docs, path).collect()}
+    two = {r.doc_id: (r.ids, r.decoded) for r in bpe.decode(bpe.encode(docs, path), path).collect()}
+    assert one == two and len(one) == len(texts)
+    assert all(one[i][1] == (t or "") for i, t in enumerate(texts))
+    assert bpe.encode_decode(docs.where("false"), path).count() == 0
