@@ -3,12 +3,17 @@
 A document is the set of its word shingles; equal sets are one class from the start. Each tree of
 the forest sorts all classes by its own sequence of minima. Candidates are longest-common-prefix
 neighbours: in sorted order, the classes that follow each other and share at least ``MIN_DEPTH``
-minima. Where many classes share a prefix the order goes on by their deeper minima, so a region is
-as deep as it is dense, and no group is ever gathered or paired with itself.
+minima.
 
 Candidates are verified on full sets, in rounds: first each class with the neighbours it shares
 most with; then, for every two components that candidates still join, their best candidate; in the
 last round whatever still crosses components. What lies in one component already needs no proof.
+
+A run of equal prefixes that is longer than the neighbourhood and still holds several components is
+then decided whole, block against block. The bits of a class are the parities of its shingles'
+buckets: two classes differ in at least as many shingles as their bits differ in, so a pair that
+differs in too many bits is excluded by proof, and every other pair is a candidate. A pair is thus
+missed only if no tree gives it a common prefix, however many classes share that prefix.
 """
 
 from __future__ import annotations
@@ -28,6 +33,9 @@ TREES = 16
 #: is missed by one tree with probability 0.49, by all with 1 in 100,000.
 DEPTH, MIN_DEPTH = 4, 3
 NEIGHBOURS = 3
+#: Classes of a run that meet at once, and the least and most bits of a class.
+BLOCK = 4096
+MIN_BITS, MAX_BITS = 256, 32768
 _RNG = np.random.Generator(np.random.PCG64(97))
 _A = _RNG.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
@@ -118,7 +126,8 @@ def _neighbours(batches):
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b, trees): neighbours in some tree and the number of trees where they are."""
-    count = partitions(classes.sparkSession)
+    # ranges of a few rows would hide neighbours from each other
+    count = max(1, min(partitions(classes.sparkSession), classes.count() * TREES // 64))
     rows = classes.select(F.posexplode("labels").alias("tree", "label"), F.col("node"))
     # the tree and label order of unsigned prefixes does not matter, only that equal ones meet
     line = rows.repartitionByRange(count, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
@@ -135,6 +144,122 @@ def candidates(classes: DataFrame) -> DataFrame:
     return stage(pairs, "candidates")
 
 
+def _bits(size: int):
+    """(node, n, bits) of texts: parities of the numbers of shingles per bucket, about 8 buckets a shingle."""
+
+    def run(batches):
+        for batch in batches:
+            texts = arrow_bytes(batch.column(1))
+            for a, b in slices(texts):
+                row, values = shingles(split_words(texts[a:b], lower=True), size)
+                count = np.bincount(row, minlength=b - a)
+                width = 1 << np.ceil(np.log2(np.clip(8 * count, MIN_BITS, MAX_BITS))).astype(np.int64)
+                first = np.concatenate([[0], np.cumsum(width)])
+                bucket = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+                packed = np.packbits((np.bincount(first[row] + bucket, minlength=first[-1]) & 1).astype(np.uint8)).tobytes()
+                at = (first // 8).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(count.astype(np.int64)), pa.array([packed[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                    names=["node", "n", "bits"],
+                )
+
+    return run
+
+
+def _signs(bits: list[bytes], width: int) -> np.ndarray:
+    """-1 for a set and 1 for a clear bit, longer bits folded to ``width`` (parities add up)."""
+    packed = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1)
+    while packed.shape[1] > width // 8:
+        half = packed.shape[1] // 2
+        packed = packed[:, :half] ^ packed[:, half:]
+    return 1 - 2 * np.unpackbits(packed, axis=1).astype(np.float32)
+
+
+def _possible(side: np.ndarray, component: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int):
+    """(i, j, bits that differ) of the pairs of one block, or of two blocks, that may be similar enough.
+
+    Only pairs across components; ``side`` tells two blocks apart.
+    """
+    order = np.argsort(component, kind="stable")
+    width = np.array([8 * len(x) for x in bits])
+    two = side.min() < side.max()
+    for w in np.unique(width).tolist():
+        for v in np.unique(width[(width >= w) & (width * percent <= 200 * w)]).tolist():
+            x, y = order[width[order] == w], order[width[order] == v]
+            if two:
+                low, high = side == side.min(), side == side.max()
+                sides = [(x[low[x]], y[high[y]])] + ([(x[high[x]], y[low[y]])] if v > w else [])
+            else:
+                sides = [(x, y)]
+            step = max(64, min(2048, (1 << 22) // w))
+            for left, right in sides:
+                for s in range(0, len(left), step):
+                    i, own = left[s : s + step], None
+                    for t in range(s if v == w and not two else 0, len(right), step):
+                        j = right[t : t + step]
+                        if component[i[0]] == component[i[-1]] == component[j[0]] == component[j[-1]]:
+                            continue
+                        own = _signs([bits[k] for k in i], w) if own is None else own
+                        differ = (w - (own @ _signs([bits[k] for k in j], w).T).astype(np.int64)) // 2
+                        good = (100 + percent) * differ <= (100 - percent) * (n[i][:, None] + n[j])
+                        good &= component[i][:, None] != component[j]
+                        if v == w and not two and s == t:
+                            good = np.triu(good, 1)
+                        p, q = np.nonzero(good)
+                        yield i[p], j[q], differ[p, q]
+
+
+def _decide(percent: int):
+    """Pairs of every group of rows (tree, prefix, low, high, side, node, component, n, bits) sorted by the first four."""
+
+    def pairs(rows: pa.Table):
+        side, node, component, n = (rows.column(i).to_numpy() for i in range(4, 8))
+        for i, j, differ in _possible(side, component, n, rows.column(8).to_pylist(), percent):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(-differ)], names=["a", "b", "trees"]
+            )
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        current = None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if a == b:
+                    continue
+                key = tuple(keys[:, a].tolist())
+                if key != current and held:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                current = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def _open_pairs(classes: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b, trees): of every long run with several components, all pairs across them not excluded by proof."""
+    line = classes.select(F.posexplode("labels").alias("tree", "label"), F.col("node"))
+    line = line.select("tree", F.shiftright("label", 16 * (DEPTH - MIN_DEPTH)).alias("prefix"), "node")
+    line = line.join(labels, "node", "left").select("tree", "prefix", "node", F.coalesce("component", "node").alias("component"))
+    runs = line.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most"))
+    # the neighbours of a shorter run are all its pairs
+    runs = stage(runs.where((F.col("size") > NEIGHBOURS + 1) & (F.col("least") < F.col("most"))).select("tree", "prefix", "size"), "runs")
+    members = stage(line.join(runs, ["tree", "prefix"]), "members")
+    bits = texts.join(members.select("node").distinct(), "node").select("node", "text").mapInArrow(_bits(size), "node long, n long, bits binary")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = members.join(stage(bits, "bits"), "node").withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("tree", "prefix", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "component", "n", "bits")
+    group = ["tree", "prefix", "low", "high"]
+    placed = placed.repartition(partitions(classes.sparkSession), *group).sortWithinPartitions(*group)
+    found = placed.mapInArrow(_decide(percent), "a long, b long, trees long")
+    return stage(found.groupBy("a", "b").agg(F.max("trees").alias("trees")), "open-pairs")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that are similar enough, by their full sets."""
 
@@ -178,6 +303,27 @@ def _best_per_node(pairs: DataFrame) -> DataFrame:
     return best.select("x.a", "x.b").union(best.select("y.a", "y.b")).distinct()
 
 
+def _settle(pairs: DataFrame, tried: DataFrame | None, edges: DataFrame, texts: DataFrame, size: int, percent: int, rounds: int):
+    """(edges, labels) once no pair that was not tried crosses components."""
+    for turn in range(rounds):
+        labels = stage(components(edges), "components")
+        a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        left = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        crossing = left.join(a, "a", "left").join(b, "b", "left")
+        crossing = crossing.select("a", "b", "trees", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+        if turn < rounds - 1:
+            ends = [F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d")]
+            best = crossing.groupBy(*ends).agg(F.min(F.struct((-F.col("trees")).alias("t"), "a", "b")).alias("x"))
+            crossing = best.select("x.a", "x.b")
+        crossing = stage(crossing.select("a", "b"), "tried")
+        if not crossing.limit(1).count():
+            return edges, labels
+        tried = crossing if tried is None else tried.union(crossing)
+        edges = edges.union(stage(_verify(crossing, texts, size, percent), "links"))
+    return edges, stage(components(edges), "components")
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, rounds: int = 3) -> DataFrame:
     """(key, n_shingles, component_id): the smallest key reachable by links, per distinct key.
 
@@ -203,23 +349,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     texts = stage(texts.dropDuplicates(["node"]), "texts")
     tried = stage(_best_per_node(pairs), "tried")
     edges = stage(_verify(tried, texts, shingle, percent), "links")
-    for turn in range(rounds):
-        labels = stage(components(edges), "components")
-        a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        crossing = pairs.join(tried, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-        crossing = crossing.select("a", "b", "trees", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        if turn < rounds - 1:
-            ends = [F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d")]
-            best = crossing.groupBy(*ends).agg(F.min(F.struct((-F.col("trees")).alias("t"), "a", "b")).alias("x"))
-            crossing = best.select("x.a", "x.b")
-        crossing = stage(crossing.select("a", "b"), "tried")
-        if not crossing.limit(1).count():
-            break
-        tried = tried.union(crossing)
-        edges = edges.union(stage(_verify(crossing, texts, shingle, percent), "links"))
-    else:
-        labels = stage(components(edges), "components")
+    edges, labels = _settle(pairs, tried, edges, texts, shingle, percent, rounds)
+    more = _open_pairs(classes, labels, texts, shingle, percent)
+    if more.limit(1).count():
+        # a neighbour that still crosses components was verified and is not similar enough
+        more = more.join(pairs, ["a", "b"], "left_anti")
+        _, labels = _settle(more, None, edges, texts, shingle, percent, rounds)
     of_class = classes.select("d0", "d1", "node").join(labels, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component_id"))
     named = full.select("id", "n_shingles", "d0", "d1").join(of_class, ["d0", "d1"]).select("id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))

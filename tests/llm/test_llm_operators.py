@@ -331,3 +331,47 @@ def test_bpe_one_pass_replaces_clashing_columns(spark):
     assert one == two and len(one) == len(texts)
     assert all(one[i][1] == (t or "") for i, t in enumerate(texts))
     assert bpe.encode_decode(docs.where("false"), path).count() == 0
+
+
+def test_near_duplicates_in_a_dense_crowd(spark):
+    """Every planted pair above 0.8 is found among texts that share much but less than 0.8."""
+    passage = [f"common{i}" for i in range(240)]
+    rows = [(i, " ".join(passage + [f"own{i}x{j}" for j in range(40)])) for i in range(600)]
+    # a pair shares 12 own words more than the crowd does
+    rows += [(1000 + 2 * p + s, " ".join(passage + [f"pair{p}x{j}" for j in range(12)] + [f"own{p}x{s}x{j}" for j in range(28)])) for p in range(60) for s in (0, 1)]
+    sets = {k: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for k, t in rows for w in [t.split()]}
+
+    def near(a, b):
+        return 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+
+    assert 74 < near(0, 1) < 80 and 74 < near(1000, 1002) < 80 and 80 <= near(1000, 1001) < 83
+    # ties are in order of ids, so the ids of a pair must not be neighbours
+    docs = spark.createDataFrame([(k * 7919 % 10007, t) for k, t in rows], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    found = sum(got[(1000 + 2 * p) * 7919 % 10007] == got[(1001 + 2 * p) * 7919 % 10007] for p in range(60))
+    assert found == 60, f"recall {found} of 60"
+    assert len(set(got.values())) == 660
+
+
+def test_open_pairs_are_a_bound():
+    """Bits exclude no pair that is similar enough, whatever the sizes and blocks."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts, n = [], 90
+    for i in range(n):
+        base = [f"b{i % 6}x{j}" for j in range([20, 31, 33, 60, 65, 300][i % 6])]
+        texts.append(" ".join(w if rng.random() > 0.03 else f"z{rng.integers(1 << 30)}" for w in base))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], names=["node", "text"])
+    made = [b for b in near_dedup._bits(4)([batch])]
+    count = np.concatenate([b.column(1).to_numpy() for b in made])
+    bits = [x for b in made for x in b.column(2).to_pylist()]
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    true = {(a, b) for a in range(n) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(true) > 50
+    component = np.arange(n)
+    for side in (np.zeros(n, int), np.arange(n) % 2):
+        found = {(max(a, b), min(a, b)) for i, j, _ in near_dedup._possible(side, component, count, bits, 80) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        assert found >= {(a, b) for a, b in true if side[a] != side[b] or side.max() == 0}
+        assert len(found) < n * n / 4
