@@ -375,3 +375,33 @@ def test_open_pairs_are_a_bound():
         found = {(max(a, b), min(a, b)) for i, j, _ in near_dedup._possible(side, component, count, bits, 80) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
         assert found >= {(a, b) for a, b in true if side[a] != side[b] or side.max() == 0}
         assert len(found) < n * n / 4
+
+
+@pytest.mark.parametrize(
+    ("column", "shift", "changed"),
+    [("loss_end", -1, {"loss_chars", "loss_sha256"}), ("context_end", -1, {"turns_sha256", "formatted_chars"}), (None, 0, set())],
+)
+def test_chat_query_reads_its_examples(spark, tmp_path, monkeypatch, column, shift, changed):
+    """A wrong loss range or context of an example shows in the registered result."""
+    from flowmill.llm import queries
+
+    rows = [(1, 0, "user", "a </s> b"), (1, 1, "assistant", "an <s> answer"), (1, 2, "user", "more"), (1, 3, "assistant", "end"), (None, 0, "assistant", "x y"), (2, 0, "user", "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    expand = chat.expand
+
+    def wrong(segments):
+        made = expand(segments)
+        return made.withColumn(column, F.col(column) + shift) if column else made
+
+    def plain():
+        frame = spark.read.parquet(f"{tmp_path}/conversations.parquet")
+        return {r.conv_id: r.asDict() for r in chat.digest(chat.read_back(chat.render(frame))).collect()}
+
+    monkeypatch.setattr(chat, "expand", wrong)
+    got = {r.conv_id: r.asDict() for r in queries.op2_chat_format(spark, str(tmp_path)).collect()}
+    expected = plain()
+    assert set(got) == {1, None, 2, -7}
+    assert got[2] == expected[2]
+    for key in (1, None):
+        differ = {c for c in got[key] if got[key][c] != expected[key][c]}
+        assert differ >= changed if changed else not differ
