@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.llm import near_dedup, packing, quality_classifier, secret_scan, substring_dedup
+from flowmill.operators.ordering import row_index
 from flowmill.session import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,10 +28,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; rows without an id stay."""
-    found = near_dedup.near_duplicates(docs, shingle=5, percent=80)
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies, the first by id (rows without an id last) and text hash.
+
+    Rows are compared, not ids: repeated rows, rows that share an id and rows without one included.
+    """
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "lang", "source"]
+    rows = row_index(docs.select(*COLUMNS), order, "__row").df
+    found = near_dedup.near_duplicates(rows, key="__row", shingle=5, percent=80)
+    gone = found.where("__row <> component_id").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

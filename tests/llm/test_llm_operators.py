@@ -405,3 +405,23 @@ def test_chat_query_reads_its_examples(spark, tmp_path, monkeypatch, column, shi
     for key in (1, None):
         differ = {c for c in got[key] if got[key][c] != expected[key][c]}
         assert differ >= changed if changed else not differ
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    """Repeated rows, rows without an id and rows that share one lose their copies, not their text."""
+    import corpus_pipeline
+
+    def text(name, n=60):
+        return " ".join(f"{name}{j}" for j in range(n))
+
+    rows = [(1, text("repeated"))] * 3 + [(None, text("null"))] * 2 + [(None, text("other"))]
+    rows += [(2, text("hot")), (2, text("hotter")), (2, text("single")), (3, text("hot")), (4, text("hotter")), (None, text("named")), (5, text("named"))]
+    rows += [(6, text("near")), (7, text("near") + " tail"), (None, None), (8, "")]
+    docs = spark.createDataFrame([(k, t, "en", "x", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs.repartition(3), "")
+    kept = spark.createDataFrame(kept.collect(), kept.schema)
+    cut = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.cut_repeats(spark, kept, "").collect())
+    # of near copies the smallest id stays
+    expected = [(1, text("repeated")), (None, text("null")), (None, text("other")), (2, text("hot")), (2, text("hotter")), (2, text("single"))]
+    expected += [(5, text("named")), (6, text("near")), (None, None), (8, "")]
+    assert cut == collections.Counter(expected)
