@@ -5,8 +5,9 @@ next content words (common words in between are skipped) is a signature. The fin
 is the set of its signatures as sorted 64-bit hashes in hex. Common words sit in running prose and
 not in navigation, tables or boilerplate, so the set follows the prose of a page.
 
-Two sets are compared by Jaccard similarity, pruned by their sizes: similarity is at most the
-smaller size over the larger one, so sets whose sizes lie in partitions too far apart are never met.
+Two sets are compared by Jaccard similarity; ``jaccard`` can leave a pair out by its sizes, as
+similarity is at most the smaller size over the larger one. There is no search for similar pairs
+here: pairs are given, no query uses ``size_partition``, and none leaves a pair out.
 """
 
 from __future__ import annotations
