@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from flowmill.llm import (
     bpe,
     chat,
+    fim,
+    lexical,
     near_dedup,
     packing,
     quality_classifier,
@@ -17,6 +19,7 @@ from flowmill.llm import (
     spotsigs,
     substring_dedup,
     suffix_tree,
+    warc,
 )
 from flowmill.llm.columns import words
 
@@ -112,6 +115,31 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(table(spark, sf_dir, "pages"))
+    full = F.col("record_type") == "response"
+    return found.select(
+        warc.key_of(F.col("record_id")).cast("long").alias("page_id"),
+        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
+        F.when(full, warc.base32_sha1(F.col("payload"))).otherwise(F.regexp_extract("payload_digest", "^sha1:(.*)$", 1)).alias("payload_digest"),
+        "record_type",
+        warc.key_of(F.col("refers_to")).cast("long").alias("refers_to"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,7 +159,43 @@ QUERIES = {
         op8_quality_rules,
         op9_packing,
         op10_spotsigs,
+        op11_lexical_search,
+        op12_warc,
+        op13_fill_in_middle,
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
+
+ORACLES: dict[str, str] = {
+    "op11_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+ tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY ALL),
+ w AS (SELECT t, CAST(floor(1000*ln(CAST(2*n_docs+2 AS DOUBLE)/(2*count(*)+1))) AS BIGINT) AS w FROM tf, s GROUP BY t, n_docs),
+ m AS (SELECT r, doc_id, 100-75+((75*len(ts)*n_docs) // n_terms) AS m FROM d, s WHERE len(ts) > 0),
+ i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark WHERE text IS NOT NULL),
+ q AS (SELECT i, item_id, t, count(*) AS c FROM (SELECT i, item_id, unnest(ts) AS t FROM i) GROUP BY ALL),
+ x AS (SELECT i, item_id, r, doc_id, CAST(sum(c*w*((1000000000*tf) // (1000*tf+8*m))) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM x WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 10""",
+    "op12_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+ q AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS largest FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(x, 5*(i // 4)+1, 5) AS BIGINT) >> (15 - 5*(i % 4))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+ CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> largest THEN largest END AS refers_to FROM q""",
+    "op13_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS s FROM documents),
+ e AS (SELECT *, string_split(t, chr(10)) AS lines, CASE WHEN t = '' THEN 0 ELSE len(t) - len(replace(t, chr(10), '')) + CASE WHEN ends_with(t, chr(10)) THEN 0 ELSE 1 END END AS n,
+    CAST('0x' || substr(s, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(s, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(s, 25, 8) AS BIGINT) AS h4 FROM d),
+ f AS (SELECT *, least(h1 % (n+1), h2 % (n+1)) AS x, greatest(h1 % (n+1), h2 % (n+1)) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM e),
+ g AS (SELECT *, CASE WHEN x = n THEN t ELSE array_to_string(lines[1:x], chr(10)) || CASE WHEN x > 0 THEN chr(10) ELSE '' END END AS a,
+    CASE WHEN y = n THEN t ELSE array_to_string(lines[1:y], chr(10)) || CASE WHEN y > 0 THEN chr(10) ELSE '' END END AS b FROM f),
+ h AS (SELECT *, a AS pre, substr(b, len(a)+1) AS mid, substr(t, len(b)+1) AS suf FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN len(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+ sha256(t) AS restored_sha256 FROM h""",
+}
