@@ -187,18 +187,20 @@ def fill_in_middle(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     output is the text, an empty one for a null, and their counts of characters are null.
 
     Rows do not depend on each other: repeated rows give equal output, a null key is drawn as an
-    empty one. Columns of the input that are named like an added one are replaced.
+    empty one. Columns of the input that are named like an added one are replaced; if key or text are
+    named so, they stay and the added column begins with two underscores.
     """
     added = ["n", "form", "prefix_chars", "middle_chars", "output"]
     kept = [c for c in docs.columns if c not in added or c in (key, text)]
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))), 256)
     draws = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long").alias(f"h{i}") for i in range(4)]
-    inputs = docs.select(F.col(text).alias("t"), *draws, *[F.col(f"`{c}`") for c in kept])
+    # columns go by number inside, so no name clashes
+    inputs = docs.select(F.col(f"`{text}`").alias("text"), *draws, *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
     kinds = [T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType()]
-    names = [f"__{c}" if c in kept else c for c in added]
-    schema = T.StructType([*(T.StructField(c, k) for c, k in zip(names, kinds, strict=True)), *(docs.schema[c] for c in kept)])
-    out = inputs.mapInArrow(_transform(rate, spm), schema)
-    return out.select(*[F.col(f"`{c}`") for c in kept], *names)
+    fields = [T.StructField(c, k) for c, k in zip(added, kinds, strict=True)]
+    fields += [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)]
+    out = inputs.mapInArrow(_transform(rate, spm), T.StructType(fields))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *[F.col(c).alias(f"__{c}" if c in kept else c) for c in added])
 
 
 def restore(output: Column, form: Column) -> Column:

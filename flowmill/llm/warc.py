@@ -246,7 +246,7 @@ def _put_together(marked: DataFrame) -> DataFrame:
     owned = line.withColumn("owner", F.max("opened").over(held)).join(carried, ["file", "block"], "left")
     owned = owned.withColumn("owner", F.coalesce("owner", "carried")).where("at < owner.end")
     joined = owned.groupBy("file", F.col("owner.at").alias("at")).agg(
-        F.max("head").alias("head"), F.max("length").alias("length"), F.first("fields", ignorenulls=True).alias("fields"),
+        *[F.first(F.when(F.col("record"), F.col(c)), ignorenulls=True).alias(c) for c in ("head", "length", "fields")],
         F.array_sort(F.collect_list(F.struct("at", "body"))).alias("parts"),
     )
     first, more = F.col("parts")[0]["body"], F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0)))
