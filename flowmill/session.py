@@ -4,11 +4,58 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 _KEPT_UNTIL_EXIT: set[str] = set()
+_SCOPES: list[Scope] = []
+
+
+class Scope:
+    """The staged tables of one piece of work; see :func:`scratch_scope`."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def free(self, *tables: DataFrame) -> None:
+        """Delete staged tables whose last reader has written its result."""
+        for table in tables:
+            path = getattr(table, "_staged_at", None)
+            if path in self.paths:
+                self.paths.remove(path)
+                _delete(self.spark, path)
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """A table that the scope's owner hands on; it belongs to the enclosing scope from now on."""
+        path = getattr(table, "_staged_at", None)
+        if path in self.paths:
+            self.paths.remove(path)
+            outer = _SCOPES[_SCOPES.index(self) - 1] if self in _SCOPES[1:] else None
+            if outer is not None:
+                outer.paths.append(path)
+        return table
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Scope]:
+    """Owns the tables that :func:`stage` writes inside it and deletes them at its end.
+
+    Work that ends in a staged table needs its own intermediate ones no longer: no later task reads
+    them, a repeated one after a lost executor included. ``free`` deletes one earlier and ``keep``
+    hands one on. A result that is not staged would still read what the scope deletes.
+    """
+    scope = Scope(spark)
+    _SCOPES.append(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPES.remove(scope)
+        for path in scope.paths:
+            _delete(spark, path)
 
 
 def local_session(app_name: str = "flowmill", cores: str = "*", **conf: str) -> SparkSession:
@@ -71,7 +118,12 @@ def _file_system(spark: SparkSession, root: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def stage(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with a columnar table: a lost executor re-reads files
@@ -81,10 +133,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     unknown up front and taken to be that of its input, so a tiny side table would make
     Spark shuffle the large side; a staged one is compared by file size with
     ``spark.sql.autoBroadcastJoinThreshold``. Nothing in this library is broadcast by hint.
+
+    The table belongs to the innermost :func:`scratch_scope`, or else to the application.
+    ``compression`` names a codec other than the session's.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    if _SCOPES:
+        _SCOPES[-1].paths.append(path)
+    return out
 
 
 def drop_staged(spark: SparkSession) -> None:
