@@ -300,7 +300,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     text = spark.read.option("lineSep", _CUT).option("recursiveFileLookup", True).text(path)
     rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
-    lines = stage(rows.mapInArrow(_scan, _LINES), "lines")
+    lines = stage(rows.mapInArrow(_scan, _LINES), "lines", "zstd")
     stretches = _stretches(lines.drop("fields", "body"))
     marked = lines.join(stretches, ["file", "block"]).withColumn("at", F.col("base") + F.col("rel"))
     # on the chain of the entry
