@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 from flowmill.functions.labels import binary_flag
 from flowmill.functions.paths import weekday_rank
 from flowmill.operators.cleaning import features_for_protocol, label_column
-from flowmill.operators.ordering import row_index, row_index_within
+from flowmill.operators.ordering import row_index_within
 from flowmill.operators.splits import split_day_holdout, split_ordered_tail, split_sequential
 from flowmill.plans.prepare import Prepared, prepare
 from flowmill.sources.flows import (
-    ORDER_COLUMNS, chronological_rank, read_fixed_schema, read_multi_file, read_train_test,
+    ORDER_COLUMNS, chronological_rank, number_records, read_fixed_schema, read_multi_file, read_train_test,
 )
 
 POLICIES = ("default", "ordered", "day_holdout")
@@ -42,7 +42,7 @@ def load_splits(
         holdout = policy == "day_holdout"
         rows = read_multi_file(spark, paths, schema, per_file_clean=holdout)
         if not holdout:
-            return split_sequential(row_index(rows, ORDER_COLUMNS, unique=True), val_ratio).drop(*ORDER_COLUMNS)
+            return split_sequential(number_records(rows), val_ratio).drop(*ORDER_COLUMNS)
         ranked = chronological_rank(
             rows.withColumn("__name", F.lower(F.element_at(F.split("_file", "/"), -1))), "__name"
         )
@@ -55,7 +55,7 @@ def load_splits(
     read = {"unsw": read_train_test, "nsl": read_fixed_schema}[family]
     rows = read(spark, train, test, schema)
     parts = [
-        row_index(rows.where(F.col("part") == part).drop("part"), ORDER_COLUMNS, unique=True)
+        number_records(rows.where(F.col("part") == part).drop("part"))
         for part in ("train", "test")
     ]
     return split_ordered_tail(parts[0], parts[1], val_ratio).drop(*ORDER_COLUMNS)

@@ -9,14 +9,18 @@ file in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowmill.functions.paths import half_day_rank, weekday_rank
-from flowmill.operators.cleaning import clean_column_names, clean_drop_invalid
+from flowmill.operators.cleaning import clean_column_names, clean_drop_invalid, null_invalid
+from flowmill.operators.ordering import Indexed, row_index
+from flowmill.operators.quantiles import first_of
+from flowmill.session import stage
 
 ORDER_COLUMNS = ["_file", "_offset", "_position"]
 
@@ -58,17 +62,31 @@ def order_columns() -> list[Column]:
     ]
 
 
-def _header_groups(
+@dataclass(frozen=True)
+class _Layout:
+    """Files with one encoding and one header line, and the column names of that line."""
+
+    charset: str
+    files: list[str]  # as the metadata column spells them
+    names: list[str]
+
+
+def _layouts(
     spark: SparkSession, paths: Sequence[str], encoding: str | None, same_header: bool
-) -> list[tuple[str, list[str]]]:
-    """Files that share an encoding and a header line, as (encoding, files).
+) -> list[_Layout]:
+    """The layouts of some files, in the order of their first file.
 
-    One scan of the text combines both per file before its shuffle; the driver gets one short row
-    per file, which it has to list anyway. Files without a line of text are left out.
+    One scan of the text combines encoding and heading per file before its shuffle; the driver gets
+    one short row per file, which it has to list anyway, and the names of each distinct header.
+    Files without a line of text are left out.
     """
-    files = [unquote(f) for f in spark.read.text(list(paths)).inputFiles()]
+    def names(charset: str, file: str) -> list[str]:
+        reader = spark.read.option("header", True).option("encoding", charset)
+        return clean_column_names(reader.csv(unquote(file))).columns
+
+    files = sorted(spark.read.text(list(paths)).inputFiles())
     if encoding is not None and (same_header or len(files) == 1):
-        return [(encoding, sorted(files))]
+        return [_Layout(encoding, files, names(encoding, files[0]))]
     lines = spark.read.text(list(paths)).select(
         "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("position"),
@@ -80,34 +98,68 @@ def _header_groups(
     groups: dict[tuple[str, str], list[str]] = {}
     for r in seen.where("heading IS NOT NULL").collect():
         charset = encoding or ("ISO-8859-1" if r["latin"] else "UTF-8")
-        groups.setdefault((charset, "" if same_header else r["heading"]), []).append(unquote(r["f"]))
+        groups.setdefault((charset, "" if same_header else r["heading"]), []).append(r["f"])
     if not groups:
-        return [(encoding or "UTF-8", files)]
-    return sorted(((charset, sorted(members)) for (charset, _), members in groups.items()), key=lambda g: g[1])
+        return [_Layout(encoding or "UTF-8", files, names(encoding or "UTF-8", files[0]))]
+    members = [(charset, sorted(g, key=unquote)) for (charset, _), g in groups.items()]
+    return [_Layout(c, g, names(c, g[0])) for c, g in sorted(members, key=lambda m: unquote(m[1][0]))]
 
 
-def _read_csv(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None, header: bool,
-    encoding: str = "UTF-8",
-) -> DataFrame:
-    """Rows as text with their order columns; missing-value tokens are null and header names clean.
+def _read_layouts(spark: SparkSession, layouts: Sequence[_Layout], schema: T.StructType | str | None) -> tuple[DataFrame, list[str]]:
+    """All files in one scan: cells are read by place and named by the layout of their file.
 
-    Files with a header are read by name: a schema picks its columns, whatever their place in the
-    file, and a file without one of them is refused. Without a header a schema names the columns.
+    Returns the rows, with their layout's number as ``_layout``, and the names that a schema or the
+    headers together give. A file's missing columns are null; missing-value tokens are null too.
     """
-    reader = spark.read.option("header", header).option("encoding", encoding)
     fields = _fields(schema)
-    if fields is not None and not header:
-        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in fields]))
-    df = clean_column_names(reader.csv(paths if isinstance(paths, str) else list(paths)).select("*", *order_columns()))
-    names = [c for c in df.columns if c not in ORDER_COLUMNS]
-    if fields is not None:
-        absent = [f.name for f in fields if f.name not in names]
+    for layout in layouts:
+        absent = [f.name for f in fields or [] if f.name not in layout.names]
         if absent:
-            raise ValueError(f"columns {absent} are not in the header of {paths}")
-        names = [f.name for f in fields]
+            raise ValueError(f"columns {absent} are not in the header of {[unquote(f) for f in layout.files[:5]]}")
+    names = [f.name for f in fields] if fields else list(dict.fromkeys(n for g in layouts for n in g.names))
+    # Latin-1 keeps every byte, so files of both encodings can be read as that and then decoded
+    charsets = {g.charset for g in layouts}
+    charset = charsets.pop() if len(charsets) == 1 else "ISO-8859-1"
+    places = [T.StructField(f"_c{i}", T.StringType()) for i in range(max(len(g.names) for g in layouts))]
+    reader = spark.read.option("header", True).option("enforceSchema", True).option("encoding", charset)
+    raw = reader.schema(T.StructType(places)).csv([unquote(f) for g in layouts for f in g.files])
+    raw = raw.select("*", *order_columns())
+
+    number = F.lit(0)
+    if len(layouts) > 1:
+        most = max(range(len(layouts)), key=lambda i: len(layouts[i].files))
+        number = F.lit(most)
+        for i, g in enumerate(layouts):
+            if i != most:
+                number = F.when(F.col("_file").isin(g.files), i).otherwise(number)
+    raw = raw.withColumn("_layout", number)
+
+    def cell(name: str) -> Column:
+        by_place: dict[int, list[int]] = {}
+        for i, g in enumerate(layouts):
+            if name in g.names:
+                by_place.setdefault(g.names.index(name), []).append(i)
+        found = sum(map(len, by_place.values()))
+        if len(by_place) == 1 and found == len(layouts):
+            value = F.col(f"_c{next(iter(by_place))}")
+        else:
+            value = F.coalesce(*[F.when(F.col("_layout").isin(at), F.col(f"_c{place}")) for place, at in by_place.items()])
+        utf = [i for i, g in enumerate(layouts) if g.charset != charset]
+        if utf:
+            odd = F.col("_layout").isin(utf) & F.rlike(value, F.lit("[^\\x00-\\x7F]"))
+            value = F.when(odd, F.decode(F.encode(value, charset), "UTF-8")).otherwise(value)
+        return F.when(~F.trim(value).isin(MISSING_TOKENS), value).alias(name)
+
+    return raw.select(*[cell(n) for n in names], *ORDER_COLUMNS, "_layout"), names
+
+
+def _read_headerless(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Rows as text with their order columns; missing-value tokens are null."""
+    names = [f.name for f in _fields(schema)]
+    reader = spark.read.option("header", False).option("encoding", "UTF-8")
+    df = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
     cells = [F.when(~F.trim(F.col(f"`{c}`")).isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in names]
-    return df.select(*cells, *ORDER_COLUMNS)
+    return df.select(*cells, *order_columns())
 
 
 def _fields(schema: T.StructType | str | None) -> list[T.StructField] | None:
@@ -116,21 +168,39 @@ def _fields(schema: T.StructType | str | None) -> list[T.StructField] | None:
     return (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
 
 
-def _clean_and_type(df: DataFrame, schema: T.StructType | str | None) -> DataFrame:
+def _clean_and_type(
+    df: DataFrame, schema: T.StructType | str | None, layouts: Sequence[_Layout] = ()
+) -> DataFrame:
     """Rows without a missing or infinite cell, then typed.
 
-    A cell that is there but does not fit its type becomes null and its row stays.
+    A cell that is there but does not fit its type becomes null and its row stays. With ``layouts`` a
+    row is tested on the columns of its own file only.
     """
     fields = _fields(schema)
+    own = [*ORDER_COLUMNS, "_layout"]
     if fields is None:
-        return clean_drop_invalid(infer_types(df), keep=ORDER_COLUMNS)
-    numbers = {f.name for f in fields if isinstance(f.dataType, T.NumericType)}
-    cells = [
-        F.when(~F.rlike(F.trim(F.col(f"`{c}`")), F.lit(_INFINITE)), F.col(f"`{c}`")).alias(c) if c in numbers else F.col(f"`{c}`")
-        for c in df.columns
-    ]
-    whole = clean_drop_invalid(df.select(*cells), keep=ORDER_COLUMNS)
-    return whole.withColumns({f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in fields})
+        df = infer_types(df, keep=own)
+    else:
+        numbers = {f.name for f in fields if isinstance(f.dataType, T.NumericType)}
+        df = df.select(
+            *[
+                F.when(~F.rlike(F.trim(F.col(f"`{c}`")), F.lit(_INFINITE)), F.col(f"`{c}`")).alias(c) if c in numbers else F.col(f"`{c}`")
+                for c in df.columns
+            ]
+        )
+    if layouts:
+        df, keep = null_invalid(df), F.lit(True)
+        for c in df.columns:
+            having = [i for i, g in enumerate(layouts) if c in g.names]
+            if c not in own:
+                held = F.col(f"`{c}`").isNotNull()
+                keep = keep & (held if len(having) == len(layouts) else held | ~F.col("_layout").isin(having))
+        whole = df.where(keep)
+    else:
+        whole = clean_drop_invalid(df, keep=own)
+    if fields is not None:
+        whole = whole.withColumns({f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in fields})
+    return whole.drop("_layout")
 
 
 def _fits(cell: Column) -> Column:
@@ -142,7 +212,7 @@ def _fits(cell: Column) -> Column:
 def infer_types(df: DataFrame, keep: Sequence[str] = tuple(ORDER_COLUMNS)) -> DataFrame:
     """Text columns whose every value is a number become BIGINT or DOUBLE.
 
-    One aggregation over all columns decides; a column without values stays text, and so does one
+    One aggregate a column, the least fitting kind of its cells, decides; a column without values stays text, and so does one
     with an integer beyond 64 bits, which a DOUBLE would blur. Cells are tested by pattern first,
     because a failing cast raises and catches an error per cell.
     """
@@ -152,22 +222,15 @@ def infer_types(df: DataFrame, keep: Sequence[str] = tuple(ORDER_COLUMNS)) -> Da
     ]
     if not texts:
         return df
-    tests = []
-    for i, c in enumerate(texts):
+    kinds = []
+    for c in texts:
         cell = F.trim(F.col(f"`{c}`"))
-        tests += [
-            F.count(cell).alias(f"n{i}"),
-            F.count_if(_fits(cell)).alias(f"i{i}"),
-            F.count_if(_fits(cell) | (F.rlike(cell, F.lit(_REAL)) & ~F.rlike(cell, F.lit(_INTEGER)))).alias(f"d{i}"),
-        ]
-    seen = df.agg(*tests).first()
+        real = F.rlike(cell, F.lit(_REAL)) & ~F.rlike(cell, F.lit(_INTEGER))
+        kinds.append(F.max(F.when(cell.isNotNull(), F.when(_fits(cell), 0).when(real, 1).otherwise(2))))
     casts = {}
-    for i, c in enumerate(texts):
-        filled = seen[f"n{i}"]
-        if filled and filled == seen[f"i{i}"]:
-            casts[c] = F.trim(F.col(f"`{c}`")).cast("bigint")
-        elif filled and filled == seen[f"d{i}"]:
-            casts[c] = F.trim(F.col(f"`{c}`")).cast("double")
+    for c, kind in zip(texts, first_of(df, kinds)):
+        if kind in (0, 1):
+            casts[c] = F.trim(F.col(f"`{c}`")).cast("bigint" if kind == 0 else "double")
     return df.withColumns(casts)
 
 
@@ -180,18 +243,11 @@ def read_custom(
     Several files need not have their columns in the same order; finding out takes a scan of the
     text, which ``same_header`` saves.
     """
-    df = _clean_and_type(_read_by_name(spark, paths, schema, "UTF-8", same_header), schema)
+    members = [paths] if isinstance(paths, str) else paths
+    df = _clean_and_type(_read_layouts(spark, _layouts(spark, members, "UTF-8", same_header), schema)[0], schema)
     return df if ordered else df.drop(*ORDER_COLUMNS)
 
 
-def _read_by_name(spark, paths, schema, encoding, same_header) -> DataFrame:
-    out = None
-    for charset, members in _header_groups(spark, [paths] if isinstance(paths, str) else paths, encoding, same_header):
-        df = _read_csv(spark, members, schema, True, charset)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
-
-
 def read_fixed_schema(
     spark: SparkSession, train: str, test: str, schema: T.StructType | str | None = None
 ) -> DataFrame:
@@ -210,9 +266,9 @@ def _pair(spark, train, test, schema, header) -> DataFrame:
     parts = []
     for part, path in (("train", train), ("test", test)):
         if header:
-            df = _read_by_name(spark, path, schema, "UTF-8", False)
+            df, _ = _read_layouts(spark, _layouts(spark, [path], "UTF-8", False), schema)
         else:
-            df = _read_csv(spark, path, schema, False)
+            df = _read_headerless(spark, path, schema)
         parts.append(_clean_and_type(df, schema).withColumn("part", F.lit(part)))
     return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
@@ -223,20 +279,46 @@ def read_multi_file(
 ) -> DataFrame:
     """Several CSV files as one table; ``ORDER_COLUMNS`` put them in alphabetical file order.
 
-    Files that are not UTF-8 are read as Latin-1. Files with the same encoding and header line are
-    one scan; finding the groups takes one more scan of the text, which a known ``encoding``
+    Files that are not UTF-8 are read as Latin-1. However many encodings and headers there are, the
+    rows come from one scan; finding them takes one more scan of the text, which a known ``encoding``
     together with ``same_header`` saves. Without a schema every file contributes its own columns; a
-    column a file lacks is null there, and cleaning after the union then drops that file's rows,
-    while ``per_file_clean`` keeps them.
+    column a file lacks is null there, and cleaning then drops that file's rows, while
+    ``per_file_clean`` tests each row on the columns of its own file.
+    """
+    layouts = _layouts(spark, list(paths), encoding, same_header)
+    rows, _ = _read_layouts(spark, layouts, schema)
+    return _clean_and_type(rows, schema, layouts if per_file_clean else ())
+
+
+def number_records(df: DataFrame, column: str = "row_idx", file_order: Sequence[Column] = ()) -> Indexed:
+    """Number the records of a reader 0..n-1 in the order of files and of records in them, without a sort.
+
+    ``df`` is what a reader with ``ORDER_COLUMNS`` returned, filtered or projected. Such rows lie in
+    their tasks in record order, block after block. They are staged with their place in the task; a
+    block's first number is a prefix sum over the blocks of its file and over the files, and both
+    tables have a row per block at most. ``file_order`` are columns of ``_file`` that go before its
+    name. Rows whose blocks were torn apart by a shuffle are sorted instead.
     """
-    groups = _header_groups(spark, list(paths), encoding, same_header)
-    frames = [_read_csv(spark, members, schema, True, charset) for charset, members in groups]
-    if per_file_clean:
-        frames = [_clean_and_type(df, schema) for df in frames]
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out if per_file_clean else _clean_and_type(out, schema)
+    staged = stage(df.withColumn("__at", F.monotonically_increasing_id()), "records")
+    where = F.min_by("_position", "__at") == F.min("_position"), F.max_by("_position", "__at") == F.max("_position")
+    blocks = staged.groupBy("_file", "_offset").agg(
+        F.count(F.lit(1)).alias("n"), F.min("__at").alias("low"), F.max("__at").alias("high"), (where[0] & where[1]).alias("ordered")
+    )
+    blocks = stage(blocks, "blocks")
+    torn, rows = blocks.agg(F.coalesce(F.bool_or(~F.col("ordered") | (F.expr("high - low + 1") != F.col("n"))), F.lit(False)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if torn:
+        return row_index(staged.drop("__at"), [*file_order, *ORDER_COLUMNS], column, unique=True)
+    in_file = Window.partitionBy("_file").orderBy("_offset").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per file
+    in_order = Window.orderBy(*file_order, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.groupBy("_file").agg(F.sum("n").alias("n")).select(
+        "_file", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("file_base")
+    )
+    before = F.coalesce(F.sum("n").over(in_file), F.lit(0))
+    bases = blocks.select("_file", "_offset", (before - F.col("low")).alias("shift")).join(files, "_file")
+    bases = stage(bases.select("_file", "_offset", (F.col("file_base") + F.col("shift")).alias("__shift")), "bases")
+    numbered = staged.join(bases, ["_file", "_offset"]).withColumn(column, F.col("__at") + F.col("__shift"))
+    return Indexed(numbered.select(*df.columns, column), rows, column)
 
 
 def chronological_rank(df: DataFrame, file_name: str = "_file") -> DataFrame:

@@ -59,6 +59,43 @@ def test_record_order_survives_split_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def _scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan csv")
+
+
+def test_many_headers_are_one_scan(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,u\n2,é\n,w\n")
+    (tmp_path / "b.csv").write_bytes("y,x,z\nq\xe9,3,7\nr,4,\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_text("z,y,x\n\"8,8\",s,5\n")
+    (tmp_path / "d.csv").write_text("")
+    (tmp_path / "e.csv").write_text("x,y\n")
+    read = flows.read_multi_file(spark, [str(tmp_path / f"{f}.csv") for f in "abcde"], per_file_clean=True)
+    assert _scans(read) == 1
+    got = [(r.x, r.y, r.z) for r in flows.number_records(read).df.orderBy("row_idx").collect()]
+    assert got == [(1, "u", None), (2, "é", None), (3, "qé", "7"), (5, "s", "8,8")]
+    typed = flows.read_multi_file(spark, [str(tmp_path / f"{f}.csv") for f in "abce"], "y STRING, x DOUBLE")
+    assert _scans(typed) == 1 and sorted((r.x, r.y) for r in typed.collect()) == [(1, "u"), (2, "é"), (3, "qé"), (4, "r"), (5, "s")]
+
+
+def test_records_are_numbered_without_an_exchange_of_rows(spark, tmp_path):
+    for i in range(3):
+        spark.range(5000 * i, 5000 * i + 5000).selectExpr("id", "IF(id % 7 = 0, NULL, 1) AS v").coalesce(1).write.option("header", True).csv(str(tmp_path / f"f{i}"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        files = spark.read.text([str(tmp_path / f"f{i}") for i in range(3)]).inputFiles()
+        read = flows.read_multi_file(spark, files, "id BIGINT, v INT", encoding="UTF-8", same_header=True)
+        got = flows.number_records(read)
+        kept = [i for i in range(15_000) if i % 7]
+        assert got.rows == len(kept)
+        assert [r.id for r in got.df.orderBy("row_idx").collect()] == kept
+        assert "RangePartitioning" not in got.df._jdf.queryExecution().executedPlan().toString()
+        shuffled = flows.number_records(read.repartition(3))
+        assert [r.id for r in shuffled.df.orderBy("row_idx").collect()] == kept
+        assert flows.number_records(read.where("id < 0")).rows == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_fixed_schema_has_43_columns():
     schema = flows.nsl_schema()
     assert len(schema) == 43 and schema.fieldNames()[0] == "duration" and schema.fieldNames()[-2:] == ["label", "difficulty"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowmill.operators.ordering import row_index
 from flowmill.session import scratch_path
 from flowmill.sources import flows as flow_files
 from flowmill.sources import metrics as records
@@ -94,7 +93,28 @@ def source_multi_file(spark, sf):
         rows.where(F.col("day") == day).drop("day").orderBy("id").write.option("header", True).csv(f"{base}/{day}")
     files = spark.read.text([f"{base}/{day}" for day in days]).inputFiles()
     read = flow_files.read_multi_file(spark, files, "id BIGINT, value DOUBLE, k INT")
-    return row_index(read, flow_files.ORDER_COLUMNS).df.select("id", "value", "k", "row_idx")
+    return flow_files.number_records(read).df.select("id", "value", "k", "row_idx")
+
+
+@query(
+    "source_multi_file_per_file",
+    f"""WITH {FLOWS_CTE}, d AS (SELECT id, value, k, CASE attack_cat {_DAY_SQL} ELSE 'Extra' END AS day FROM flows WHERE value IS NOT NULL)
+    SELECT id, value, k, CASE WHEN day IN ('Wednesday', 'Extra') THEN 'caf' || chr(233) || ' ' || CAST(id AS VARCHAR) END AS note, row_number() OVER (ORDER BY day, id) - 1 AS row_idx FROM d""",
+)
+def source_multi_file_per_file(spark, sf):
+    """Day files with three headers, one of them in Latin-1, each cleaned on its own columns."""
+    rows = flows(spark, sf).selectExpr(
+        "id", "value", "k", f"CASE attack_cat {_DAY_SQL} ELSE 'Extra' END AS day", "concat('café ', CAST(id AS STRING)) AS note"
+    )
+    headers = {"Thursday": ["k", "id", "value"], "Tuesday": ["k", "id", "value"], "Wednesday": ["note", "id", "value", "k"], "Extra": ["note", "id", "value", "k"]}
+    base = scratch_path(spark, "days")
+    days = [*_DAYS.values(), "Extra"]
+    for day in days:
+        part = rows.where(F.col("day") == day).orderBy("id").select(*headers.get(day, ["id", "value", "k"]))
+        part.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{base}/{day}")
+    files = spark.read.text([f"{base}/{day}" for day in days]).inputFiles()
+    read = flow_files.read_multi_file(spark, files, per_file_clean=True)
+    return flow_files.number_records(read).df.select("id", "value", F.col("k").cast("int").alias("k"), "note", "row_idx")
 
 
 @query(
