@@ -70,26 +70,76 @@ def read_run_metrics(
     return _with_location(good.select(*cells, "__path"), root, F.col("__path")).drop("__path")
 
 
+# The number literals of some JSON writers that are no JSON.
+_NO_NUMBER = r"(?<=[:\[,\s])-?(NaN|Infinity)(?=\s*[,\]}])"
+
+
+def parse_records(texts: DataFrame, column: str = "value") -> DataFrame:
+    """``texts`` with each JSON object as a VARIANT in ``record``; other texts are left out.
+
+    A variant has no schema, so one odd field does not spoil its record. NaN and infinities written
+    as bare words count as null.
+    """
+    plain = F.regexp_replace(column, "^\ufeff", "")
+    repaired = F.regexp_replace(plain, _NO_NUMBER, "null")
+    parsed = texts.withColumn("record", F.coalesce(F.try_parse_json(plain), F.try_parse_json(repaired)))
+    return parsed.where(F.schema_of_variant("record").startswith("OBJECT")).drop(column)
+
+
+def variant_schema(records: DataFrame, column: str = "record") -> T.StructType:
+    """The union of the fields of all records; a field of several kinds is text."""
+    found = records.agg(F.schema_of_variant_agg(column)).first()[0] or ""
+    if not found.startswith("OBJECT<"):
+        return T.StructType([])
+    return _plain_kinds(T.StructType.fromDDL(found.replace("OBJECT<", "STRUCT<")[len("STRUCT<") : -1]))
+
+
+def _plain_kinds(dtype: T.DataType) -> T.DataType:
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _plain_kinds(f.dataType)) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_plain_kinds(dtype.elementType))
+    if isinstance(dtype, T.DecimalType):
+        return T.DoubleType()
+    return T.StringType() if isinstance(dtype, (T.VariantType, T.NullType)) else dtype
+
+
+def variant_fields(record: str, schema: T.StructType, flatten: Sequence[str] = (), depth: int = 2) -> list[Column]:
+    """A column per field, read one by one: a value that does not fit its type is null, no other is lost.
+
+    Objects named in ``flatten`` become ``name_key`` and ``name_key_subkey`` columns.
+    """
+
+    def step(name: str) -> str:
+        quote = '"' if "'" in name else "'"
+        return f"[{quote}{name}{quote}]"
+
+    def leaves(dtype: T.DataType, path: str, name: str, level: int) -> list[Column]:
+        if isinstance(dtype, T.StructType) and level < depth:
+            return [leaf for f in dtype.fields for leaf in leaves(f.dataType, path + step(f.name), f"{name}_{f.name}", level + 1)]
+        return [F.try_variant_get(record, path, dtype.simpleString()).alias(name)]
+
+    return [leaf for f in schema.fields for leaf in leaves(f.dataType, "$" + step(f.name), f.name, 0 if f.name in flatten else depth)]
+
+
 def read_efficiency(
     spark: SparkSession, root: str, name: str = "efficiency.json",
     schema: str | T.StructType | None = None, multi_line: bool = True,
 ) -> DataFrame:
     """Efficiency records below ``root`` with the nested ``inference`` object flattened.
 
-    Records of different models have different fields; without a schema Spark infers their
-    union. Unreadable files are skipped. Adds ``relative_path`` and ``family``.
+    Records of different models have different fields; without a schema their union is found in one
+    aggregation. Only texts that are no JSON object are skipped: a field of another kind than its
+    column is null, or makes the column text where no schema is given. Adds ``relative_path`` and ``family``.
     """
-    reader = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name)
-        .option("multiLine", multi_line)
-        .option("mode", "DROPMALFORMED")
+    texts = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
+        .text(root, wholetext=multi_line)
     )
-    raw = (reader if schema is None else reader.schema(schema)).json(root)
-    located = _with_location(
-        raw.select("*", F.col("_metadata.file_path").alias("__path")), root, F.col("__path")
-    ).drop("__path")
-    return flatten_struct(located, "inference") if "inference" in raw.columns else located
+    parsed = parse_records(texts.select("value", F.col("_metadata.file_path").alias("__path")))
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    cells = variant_fields("record", fields if fields is not None else variant_schema(parsed), ["inference"])
+    return _with_location(parsed.select(*cells, "__path"), root, F.col("__path")).drop("__path")
 
 
 def flatten_struct(df: DataFrame, column: str, depth: int = 2) -> DataFrame:
@@ -108,17 +158,15 @@ def flatten_struct(df: DataFrame, column: str, depth: int = 2) -> DataFrame:
     return df.select(*others, *leaves(df.schema[column].dataType, f"`{column}`", column, 0))
 
 
-def resolve_records(
-    listing: DataFrame, wanted: DataFrame, names: Sequence[str], record: str = "metrics.json"
-) -> DataFrame:
+def resolve_records(listing: DataFrame, wanted: DataFrame, record: str = "metrics.json") -> DataFrame:
     """Pick the record of each wanted (base, name) from a listing of (base, path).
 
     ``path`` is relative to the base. A known layout wins in order of preference; else the
     only path whose last folder contains the name; among several, the only one that is not
     a side result. ``status`` is ``found``, ``missing`` or ``ambiguous``.
 
-    ``names`` are the distinct wanted names. The layout match is an equi-join on the path;
-    the fallback tests each listed path against the literal names, so it stays a projection.
+    Both matches are equi-joins: on the whole path, and on the parts of the last folder's name, of
+    which a folder has as many as its length squared by two.
     """
     layouts = F.array(
         *[
@@ -139,6 +187,10 @@ def resolve_records(
         .agg(F.min_by("path", "priority").alias("direct_path"))
     )
     folder = F.element_at(F.split("path", "/"), -2)
+    length = F.greatest(F.length(folder), F.lit(1))
+    parts = F.array_distinct(
+        F.flatten(F.transform(F.sequence(F.lit(1), length), lambda a: F.transform(F.sequence(F.lit(1), length - a + 1), lambda n: F.substring(folder, a, n))))
+    )
     side = F.lit(False)
     for fragment in SIDE_RESULTS:
         side = side | F.lower(F.concat_ws("/", "base", "path")).contains(fragment)
@@ -147,8 +199,9 @@ def resolve_records(
         .where(F.size(F.split("path", "/")) >= 2)
         .select(
             "base", "path", side.alias("side"),
-            F.explode(F.filter(F.lit(list(names)), lambda n: F.contains(folder, n))).alias("name"),
+            F.explode(parts).alias("name"),
         )
+        .join(wanted.select("base", "name").distinct(), ["base", "name"])
         .groupBy("base", "name")
         .agg(
             F.count(F.lit(1)).alias("matches"),

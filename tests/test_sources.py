@@ -147,6 +147,27 @@ def test_run_metrics_skip_unreadable(spark, tmp_path):
     assert got["hyper/dropout/0p1/seed_2/metrics.json"].family == "hyper"
 
 
+def test_efficiency_keeps_records_with_odd_fields(spark, tmp_path):
+    texts = {
+        "a": {"macs": "n/a", "params": 3, "inference": {"batch_1": {"ms": 1.5}, "dev": "cpu"}}, "b": {"macs": 7, "inference": {"batch_1": {"ms": 2}}},
+        "c": {"inference": "none", "it's": 1}, "d": [1], "e": 5,
+    }
+    for name, value in texts.items():
+        os.makedirs(tmp_path / name)
+        (tmp_path / name / "efficiency.json").write_text(json.dumps(value, indent=1))
+    os.makedirs(tmp_path / "f")
+    (tmp_path / "f" / "efficiency.json").write_text('{"macs": NaN, "params": -Infinity, "note": "x: NaN"}')
+    os.makedirs(tmp_path / "g")
+    (tmp_path / "g" / "efficiency.json").write_text('{"macs": 1')
+    schema = "macs BIGINT, params INT, inference STRUCT<batch_1: STRUCT<ms: DOUBLE>, dev: STRING>"
+    got = {r.family: r for r in metrics.read_efficiency(spark, str(tmp_path), schema=schema).collect()}
+    assert sorted(got) == ["a", "b", "c", "f"]
+    assert [tuple(got[k])[:4] for k in "abcf"] == [(None, 3, 1.5, "cpu"), (7, None, 2.0, None), (None, None, None, None), (None, None, None, None)]
+    free = metrics.read_efficiency(spark, str(tmp_path))
+    assert {"macs", "params", "it's", "inference"} <= set(free.columns)
+    assert {r.family: r.macs for r in free.collect()} == {"a": "n/a", "b": "7", "c": None, "f": None}
+
+
 def test_flatten(spark):
     df = spark.sql("SELECT 1 AS a, named_struct('b1', named_struct('ms', 2.0), 'macs', 3) AS inference")
     assert metrics.flatten_struct(df, "inference").columns == ["a", "inference_b1_ms", "inference_macs"]
@@ -160,7 +181,7 @@ def test_resolve_records(spark):
     )
     names = ["cnn", "gru", "lstm", "mlp", "tcn"]
     wanted = spark.createDataFrame([("r", n) for n in names], "base string, name string")
-    got = {r.name: (r.path, r.status) for r in metrics.resolve_records(listing, wanted, names).collect()}
+    got = {r.name: (r.path, r.status) for r in metrics.resolve_records(listing, wanted).collect()}
     assert got == {
         "cnn": ("cnn/metrics.json", "found"), "gru": ("x/gru_final/metrics.json", "found"),
         "lstm": ("x/lstm_a/metrics.json", "found"), "mlp": (None, "ambiguous"), "tcn": (None, "missing"),

@@ -168,6 +168,31 @@ def source_efficiency(spark, sf):
     return read.select("id", "inference_batch_1_k", "inference_batch_1_device", "inference_macs")
 
 
+@query(
+    "source_efficiency_files",
+    """SELECT user_id AS id, CASE WHEN user_id % 7 <> 3 THEN CAST(count(*) AS BIGINT) END AS parameters, CAST(sum(event_id) AS BIGINT) AS inference_macs, CAST(user_id % 5 AS BIGINT) AS inference_batch_1_k,
+    min(event_type) AS inference_batch_1_device, CAST(CASE WHEN user_id % 5 <> 2 THEN max(event_id) END AS BIGINT) AS inference_batch_default_rows FROM events GROUP BY user_id""",
+)
+def source_efficiency_files(spark, sf):
+    """One multi-line file per run, some with an odd field, some broken; fields found from the files."""
+    root = scratch_path(spark, "efficiency")
+    runs_ = table(spark, sf, "events").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("macs"), F.min("event_type").alias("device"), F.max("event_id").alias("most")
+    )
+    odd = F.when(F.col("user_id") % 7 == 3, F.lit('"n/a"')).otherwise(F.col("n").cast("string"))
+    rows = F.when(F.col("user_id") % 5 == 2, F.lit("NaN")).otherwise(F.col("most").cast("string"))
+    text = F.concat(
+        F.lit('{\n  "id": '), "user_id", F.lit(',\n  "parameters": '), odd, F.lit(',\n  "inference": {\n    "batch_1": {"k": '), F.col("user_id") % 5,
+        F.lit(', "device": "'), "device", F.lit('"},\n    "batch_default": {"rows": '), rows, F.lit('},\n    "macs": '), "macs", F.lit("\n  }\n}"),
+    )
+    files = runs_.select(F.concat(F.lit("run"), "user_id").alias("run"), text.alias("value"))
+    broken = runs_.where("user_id % 10 = 0").select(F.concat(F.lit("broken"), "user_id").alias("run"), F.substring(text, 1, 40).alias("value"))
+    files.unionByName(broken).repartition("run").write.partitionBy("run").text(f"{root}/main")
+    read = records.read_efficiency(spark, root, "*.txt")
+    names = ["inference_macs", "inference_batch_1_k", "inference_batch_1_device", "inference_batch_default_rows"]
+    return read.select("id", F.col("parameters").try_cast("bigint").alias("parameters"), *names)
+
+
 def _prediction_rows(spark, sf):
     return preds(spark, sf).selectExpr("row_id", "y_true", "p_a AS y_prob", "CAST(p_a >= 0.5D AS INT) AS y_pred")
 
@@ -232,4 +257,4 @@ _WANTED = [f"n{i}" for i in range(1, 8)]
 def source_best_metrics_path(spark, sf):
     listing = table(spark, sf, "lineitem").selectExpr("l_returnflag AS base", f"{_PATHS} AS path").distinct()
     wanted = listing.select("base").distinct().select("base", F.explode(F.lit(_WANTED)).alias("name"))
-    return records.resolve_records(listing, wanted, _WANTED)
+    return records.resolve_records(listing, wanted)
