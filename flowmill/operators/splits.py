@@ -92,8 +92,7 @@ def split_stratified(
         names = {c: f"__c{i}" for i, c in enumerate(values)}
         wide = keyed.select(*[values[c].alias(names[c]) for c in values])
         found = order_statistics(wide, {names[c]: [ranks[c]] for c in values})
-        row = wide.agg(F.count(F.lit(1)), *[found[n][0].alias(n) for n in names.values()]).first()
-        return {c: row[n] for c, n in names.items()}
+        return {c: found[n][0] for c, n in names.items()}
 
     validate = F.lit(False)
     if wanted:
@@ -101,25 +100,20 @@ def split_stratified(
         limit = pick(
             {c: F.when(own[c], F.col("__order")) for c in wanted}, {c: q - 1 for c, q in wanted.items()}
         )
-        sides = keyed.agg(
-            *[
-                F.count_if(own[c] & (F.col("__order") < F.lit(limit[c]))).alias(f"below{i}")
-                for i, c in enumerate(wanted)
-            ]
-        ).first()
-        # rows that share the threshold value are told apart by their tie key
-        left = {c: wanted[c] - sides[f"below{i}"] - 1 for i, c in enumerate(wanted)}
+        # rows that share the threshold value are told apart by their tie key, if not all of them go
+        left = {c: q - limit[c].below for c, q in wanted.items() if q < limit[c].below + limit[c].at}
+        tied = {c: own[c] & (F.col("__order") == F.lit(limit[c].value)) for c in left}
         # in two halves, as a DOUBLE holds 32 bits of a BIGINT exactly but not all 64
         key = F.col(tie).cast("bigint")
         high, low = F.shiftright(key, 32).cast("double"), key.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")
-        tied = {c: own[c] & (F.col("__order") == F.lit(limit[c])) for c in wanted}
-        top = pick({c: F.when(tied[c], high) for c in wanted}, left)
-        under = keyed.agg(*[F.count_if(tied[c] & (high < F.lit(top[c]))).alias(f"under{i}") for i, c in enumerate(wanted)]).first()
-        rest_of = {c: left[c] - under[f"under{i}"] for i, c in enumerate(wanted)}
-        last = pick({c: F.when(tied[c] & (high == F.lit(top[c])), low) for c in wanted}, rest_of)
+        top = pick({c: F.when(tied[c], high) for c in left}, {c: n - 1 for c, n in left.items()}) if left else {}
+        rest_of = {c: n - 1 - top[c].below for c, n in left.items()}
+        last = pick({c: F.when(tied[c] & (high == F.lit(top[c].value)), low) for c in left}, rest_of) if left else {}
         for c in wanted:
-            edge, step = F.lit(top[c]), F.lit(last[c])
-            inside = (F.col("__order") < F.lit(limit[c])) | (tied[c] & ((high < edge) | ((high == edge) & (low <= step))))
+            inside = F.col("__order") <= F.lit(limit[c].value)
+            if c in left:
+                edge, step = F.lit(top[c].value), F.lit(last[c].value)
+                inside = (F.col("__order") < F.lit(limit[c].value)) | (tied[c] & ((high < edge) | ((high == edge) & (low <= step))))
             validate = validate | (own[c] & inside)
     return keyed.withColumn("split", F.when(validate, VAL).otherwise(rest)).drop("__order")
 

@@ -51,6 +51,26 @@ def test_median_with_a_hot_value_next_to_the_middle(spark):
 # --- cleaning and labels ------------------------------------------------------
 
 
+def test_order_statistics_with_counts_and_missed_brackets(spark, monkeypatch):
+    rows = [(float(i % 50), None if i % 3 else float(-i), 7.0, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d long").repartition(5)
+    columns = [sorted(r[j] for r in rows if r[j] is not None) for j in range(4)]
+    targets = {"a": [0, 1], "b": [500], "c": [2999], "d": [1234]}
+
+    def check(**options):
+        found = quantiles.order_statistics(df, targets, **options)
+        for (name, ranks), values in zip(targets.items(), columns, strict=True):
+            for k, got in zip(ranks, found[name], strict=True):
+                v = values[k]
+                assert (got.value, got.below, got.at) == (v, sum(x < v for x in values), values.count(v))
+
+    check()
+    check(sketch_size=64, gather_limit=10)
+    quantile = quantiles.F.kll_sketch_get_quantile_double
+    monkeypatch.setattr(quantiles.F, "kll_sketch_get_quantile_double", lambda s, r: quantiles.F.transform(quantile(s, r), lambda x: x + 3))
+    check(gather_limit=10)  # brackets that miss are opened
+
+
 def test_clean_drops_nan_infinity_and_texts(spark):
     rows = [(1.0, "x"), (float("nan"), "x"), (float("inf"), "x"), (2.0, "-inf"), (3.0, None), (4.0, "y")]
     df = spark.createDataFrame(rows, "a double, b string")
