@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmill.functions.distributions import (
@@ -26,6 +26,9 @@ from flowmill.session import stage
 # Metrics summarised per group of runs, and those tested pairwise.
 SUMMARY_METRICS = ("accuracy", "f1_macro", "auc", "fpr_macro", "fpr_attack_positive")
 TESTED_METRICS = ("accuracy", "f1_macro", "auc")
+#: Groups of at most this many rows are ranked by windows, one group in one task. If any group is
+#: larger, range sorts over all groups do the same work spread out; results are equal.
+GROUP_ROWS = 1 << 20
 
 
 def summarize(
@@ -117,26 +120,8 @@ def paired_signed_rank(
         .select(*by, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
         .withColumn("__d", F.round(F.col("__a") - F.col("__b"), digits))
     )
-    diffs = stage(diffs, "differences")  # effects, medians and ranks each read the pairs
-    d = F.col("__d")
-    effects = diffs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.avg("__a").alias("mean_a"),
-        F.avg("__b").alias("mean_b"),
-        F.avg(F.col("__a") - F.col("__b")).alias("mean_difference"),
-        F.count_if(d > 0).alias("wins_a"),
-        F.count_if(is_close(d)).alias("ties"),
-        F.count_if(d < 0).alias("wins_b"),
-        F.every(is_close(d)).alias("__flat"),
-    )
-    middle = group_medians(diffs, by, "__d", "median_difference")
-    positive = (d > 0).cast("int")
-    ranks = rank_totals(
-        diffs.where("__d != 0"), by, F.abs("__d"), hits=positive, mass=F.lit(1)
-    ).withColumnRenamed("ties", "__tied")
-    joined = join_on(
-        join_on(effects.where("n_pairs >= 2"), middle, by, "left"), ranks, by, "left"
-    )
+    diffs = stage(diffs, "differences")
+    joined = (_ranked_in_groups if _largest(diffs, by) <= GROUP_ROWS else _ranked_apart)(diffs, by)
     n = F.col("mass")
     # average rank of a tied block = rows below + (block size + 1) / 2
     w_plus = F.col("below") + F.col("hits") / 2
@@ -159,8 +144,71 @@ def paired_signed_rank(
     )
 
 
+def _effects() -> list[Column]:
+    d = F.col("__d")
+    return [
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.avg("__a").alias("mean_a"),
+        F.avg("__b").alias("mean_b"),
+        F.avg(F.col("__a") - F.col("__b")).alias("mean_difference"),
+        F.count_if(d > 0).alias("wins_a"),
+        F.count_if(is_close(d)).alias("ties"),
+        F.count_if(d < 0).alias("wins_b"),
+        F.every(is_close(d)).alias("__flat"),
+    ]
+
+
+def _largest(rows: DataFrame, by: Sequence[str]) -> int:
+    return rows.groupBy(*by).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+
+def _ranked_in_groups(diffs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Effects, medians and rank sums of groups that each fit a task, by one exchange on the group."""
+    d = F.col("__d")
+    nonzero = F.when(d != 0, F.abs(d))
+    tied = F.count(nonzero).over(Window.partitionBy(*by, nonzero))
+    # nulls, the zero differences, come last and so do not shift a rank
+    placed = F.rank().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last(nonzero)))
+    marked = diffs.select(*by, "__a", "__b", "__d", nonzero.isNotNull().alias("__used"), tied.alias("__t"), placed.alias("__r"))
+    hit = F.col("__used") & (d > 0)
+    used = F.count_if("__used")
+    grouped = marked.groupBy(*by).agg(
+        *_effects(),
+        F.median("__d").alias("median_difference"),
+        F.sum(F.when(hit, F.col("__r") - 1 + F.col("__t") / 2)).alias("below"),
+        F.count_if(hit).cast("double").alias("hits"),
+        used.cast("double").alias("mass"),
+        F.sum(F.when(F.col("__used"), F.col("__t") * F.col("__t") - 1)).cast("double").alias("tie_cubes"),
+        F.count_if(F.col("__used") & (F.col("__t") > 1)).alias("__tied"),
+    )
+    return grouped.where("n_pairs >= 2").withColumns(
+        {"below": F.when(F.col("mass") > 0, F.coalesce("below", F.lit(0.0))), **{c: F.when(F.col("mass") > 0, F.col(c)) for c in ("hits", "mass", "tie_cubes", "__tied")}}
+    )
+
+
+def _ranked_apart(diffs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same where a group may be too large for a task: by range sorts over all groups."""
+    effects = diffs.groupBy(*by).agg(*_effects())
+    middle = group_medians(diffs, by, "__d", "median_difference")
+    positive = (F.col("__d") > 0).cast("int")
+    ranks = rank_totals(
+        diffs.where("__d != 0"), by, F.abs("__d"), hits=positive, mass=F.lit(1)
+    ).withColumnRenamed("ties", "__tied")
+    return join_on(
+        join_on(effects.where("n_pairs >= 2"), middle, by, "left"), ranks, by, "left"
+    )
+
+
 def holm(tests: DataFrame, by: Sequence[str], p: str = "p_value", tie: Sequence[str] = ()) -> DataFrame:
     """Step-down adjusted p-values per family: ``p_holm`` and ``significant_0_05``."""
+    tests = stage(tests, "tests")
+    if _largest(tests, by) <= GROUP_ROWS:
+        family = Window.partitionBy(*by)
+        order = family.orderBy(p, *tie)
+        step = F.least(F.lit(1.0), (F.count(F.lit(1)).over(family) - F.row_number().over(order) + 1) * F.col(p))
+        stepped = tests.withColumn("__step", step)
+        adjusted = stepped.withColumn("p_holm", F.max("__step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return adjusted.drop("__step").withColumn("significant_0_05", F.col("p_holm") < 0.05)
     placed = row_index_within(tests, by, [p, *tie], "__rank", "__tests", "__family")
     step = F.least(F.lit(1.0), (F.col("__tests") - F.col("__rank")) * F.col(p))
     adjusted = running_over(placed, ["__family"], "__rank", maxes={"p_holm": step})
@@ -185,10 +233,21 @@ def best_and_stop_epoch(
     rows = history.select(
         F.col(run).alias("run_id"), F.col(epoch).alias("epoch"), F.col(value).alias("v")
     )
+    rows = stage(rows, "history")
+    if _largest(rows, ["run_id"]) <= GROUP_ROWS:
+        order = Window.partitionBy("run_id").orderBy("epoch")
+        seen = order.rowsBetween(Window.unboundedPreceding, -1)
+        before = rows.withColumn("__i", F.row_number().over(order) - 1).withColumn("__best", F.max("v").over(seen))
+        improved = F.when(F.col("__best").isNull() | (F.col("v") > F.col("__best")), F.col("__i"))
+        marked = before.withColumn("__last", F.max(improved).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return _best_and_stop(marked, patience)
     placed = row_index_within(rows, ["run_id"], ["epoch"], "__i", group_column="__run")
     before = running_over(placed, ["__run"], "__i", maxes={"__best": F.col("v")}, inclusive=False)
     improved = F.when(F.col("__best").isNull() | (F.col("v") > F.col("__best")), F.col("__i"))
-    marked = running_over(before, ["__run"], "__i", maxes={"__last": improved})
+    return _best_and_stop(running_over(before, ["__run"], "__i", maxes={"__last": improved}), patience)
+
+
+def _best_and_stop(marked: DataFrame, patience: int) -> DataFrame:
     return marked.groupBy("run_id").agg(
         F.max_by("epoch", F.struct(F.col("v"), -F.col("__i"))).alias("best_epoch"),
         F.max("v").alias("best_value"),

@@ -191,3 +191,18 @@ def test_dependence_across_chunks_and_single_rows(spark):
 )
 def test_session_key(columns, key):
     assert audit.session_key(columns) == key
+
+
+def test_rows_that_share_a_digest_are_told_apart(spark, monkeypatch):
+    from flowmill.operators import audit
+
+    rows = [(i % 5, "train" if i % 2 else "test", i % 5 == 0 and i > 10) for i in range(40)]
+    df = spark.createDataFrame([(float(a), s, int(y)) for a, s, y in rows], "a double, split string, y int")
+
+    def run():
+        groups = audit.feature_groups(df, ["a"], "y")
+        return sorted(map(tuple, groups.collect()))
+
+    want, real = run(), audit.row_hash
+    monkeypatch.setattr(audit, "row_hash", lambda d, c, salt: real(d, c, salt) if salt > 1 else real(d, c, salt) % 2)
+    assert run() == want and len(want) == 5

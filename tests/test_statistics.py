@@ -161,3 +161,28 @@ def test_overrides(spark):
         "variant string, kernel_sizes string, channel_attention boolean, temporal_attention boolean, focal_loss boolean")
     got = {r.variant: r for r in experiments.apply_overrides(df).collect()}
     assert got["full"].channel_attention and not got["no_attention"].channel_attention and got["no_attention"].focal_loss
+
+
+def test_small_and_large_groups_agree(spark, monkeypatch):
+    """Windows per group and range sorts over all groups give the same rows."""
+    import random
+
+    from flowmill.operators import statistics
+
+    rng = random.Random(4)
+    rows = [(g, rng.randrange(6) / 2, rng.randrange(6) / 2) for g in ("a", "b", "c", None) for _ in range({"a": 40, "b": 9, "c": 1, None: 5}[g])]
+    rows += [("flat", 1.0, 1.0)] * 3 + [("untied", float(2 ** i), 0.0 if i % 3 else 3.0 * 2 ** i) for i in range(8)]
+    pairs = spark.createDataFrame(rows, "g string, value_a double, value_b double").repartition(4)
+    curve = [(r, e, v) for r in "xyz" for e, v in enumerate([0.1, 0.3, 0.3, 0.2, 0.4, 0.1, 0.1, 0.1][: {"x": 8, "y": 3, "z": 1}[r]])]
+    history = spark.createDataFrame(curve, "run_id string, epoch int, val_f1_macro double").repartition(3)
+
+    def run():
+        tests = statistics.paired_signed_rank(pairs, ["g"])
+        done = statistics.holm(tests.withColumn("f", F.lit("f")), ["f"], tie=["g"]).collect()
+        epochs = statistics.best_and_stop_epoch(history, patience=2).collect()
+        return sorted((tuple(round(x, 12) if isinstance(x, float) else x for x in r) for r in done), key=str), sorted(map(tuple, epochs))
+
+    want = run()
+    assert len(want[0]) == 5
+    monkeypatch.setattr(statistics, "GROUP_ROWS", 0)
+    assert run() == want
