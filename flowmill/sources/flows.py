@@ -304,20 +304,20 @@ def number_records(df: DataFrame, column: str = "row_idx", file_order: Sequence[
     blocks = staged.groupBy("_file", "_offset").agg(
         F.count(F.lit(1)).alias("n"), F.min("__at").alias("low"), F.max("__at").alias("high"), (where[0] & where[1]).alias("ordered")
     )
-    blocks = stage(blocks, "blocks")
-    torn, rows = blocks.agg(F.coalesce(F.bool_or(~F.col("ordered") | (F.expr("high - low + 1") != F.col("n"))), F.lit(False)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if torn:
-        return row_index(staged.drop("__at"), [*file_order, *ORDER_COLUMNS], column, unique=True)
     in_file = Window.partitionBy("_file").orderBy("_offset").rowsBetween(Window.unboundedPreceding, -1)
     # one row per file
     in_order = Window.orderBy(*file_order, "_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = blocks.groupBy("_file").agg(F.sum("n").alias("n")).select(
+    files = staged.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).select(
         "_file", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("file_base")
     )
     before = F.coalesce(F.sum("n").over(in_file), F.lit(0))
-    bases = blocks.select("_file", "_offset", (before - F.col("low")).alias("shift")).join(files, "_file")
-    bases = stage(bases.select("_file", "_offset", (F.col("file_base") + F.col("shift")).alias("__shift")), "bases")
-    numbered = staged.join(bases, ["_file", "_offset"]).withColumn(column, F.col("__at") + F.col("__shift"))
+    torn = ~F.col("ordered") | (F.expr("high - low + 1") != F.col("n"))
+    bases = blocks.select("_file", "_offset", "n", torn.alias("torn"), (before - F.col("low")).alias("shift")).join(files, "_file")
+    bases = stage(bases.select("_file", "_offset", "n", "torn", (F.col("file_base") + F.col("shift")).alias("__shift")), "bases")
+    torn, rows = bases.agg(F.coalesce(F.bool_or("torn"), F.lit(False)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if torn:
+        return row_index(staged.drop("__at"), [*file_order, *ORDER_COLUMNS], column, unique=True)
+    numbered = staged.join(bases.drop("n", "torn"), ["_file", "_offset"]).withColumn(column, F.col("__at") + F.col("__shift"))
     return Indexed(numbered.select(*df.columns, column), rows, column)
 
 
