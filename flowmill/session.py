@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_SCRATCH: dict[str, str] = {}
 _KEPT_UNTIL_EXIT: set[str] = set()
 _SCOPES: list[Scope] = []
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scope:
@@ -137,8 +138,14 @@ def stage(df: DataFrame, label: str, compression: str | None = None) -> DataFram
     The table belongs to the innermost :func:`scratch_scope`, or else to the application.
     ``compression`` names a codec other than the session's.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path, compression=compression)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    # what was shuffled for a table is of no use once the table is written
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before) if before else spark.conf.unset(_FREE_SHUFFLES)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     if _SCOPES:
