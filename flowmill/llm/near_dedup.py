@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowmill.llm.components import components
+from flowmill.llm.components import merge
 from flowmill.llm.exchange import partitions
 from flowmill.llm.text import Words, arrow_bytes, mix, run_hashes, slices, split_words, word_hashes
-from flowmill.session import stage
+from flowmill.session import Scope, scratch_scope, stage
 
 TREES = 16
 #: A label holds four minima of 16 bits; three equal ones make a candidate. A pair of similarity 0.8
@@ -126,6 +126,11 @@ def _neighbours(batches):
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b, trees): neighbours in some tree and the number of trees where they are."""
+    with scratch_scope(classes.sparkSession) as scope:
+        return scope.keep(_candidates(classes))
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
     # ranges of a few rows would hide neighbours from each other
     count = max(1, min(partitions(classes.sparkSession), classes.count() * TREES // 64))
     rows = classes.select(F.posexplode("labels").alias("tree", "label"), F.col("node"))
@@ -242,6 +247,11 @@ def _decide(percent: int):
 
 def _open_pairs(classes: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b, trees): of every long run with several components, all pairs across them not excluded by proof."""
+    with scratch_scope(classes.sparkSession) as scope:
+        return scope.keep(_open_pairs_of_runs(classes, labels, texts, size, percent))
+
+
+def _open_pairs_of_runs(classes: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     line = classes.select(F.posexplode("labels").alias("tree", "label"), F.col("node"))
     line = line.select("tree", F.shiftright("label", 16 * (DEPTH - MIN_DEPTH)).alias("prefix"), "node")
     line = line.join(labels, "node", "left").select("tree", "prefix", "node", F.coalesce("component", "node").alias("component"))
@@ -303,25 +313,39 @@ def _best_per_node(pairs: DataFrame) -> DataFrame:
     return best.select("x.a", "x.b").union(best.select("y.a", "y.b")).distinct()
 
 
-def _settle(pairs: DataFrame, tried: DataFrame | None, edges: DataFrame, texts: DataFrame, size: int, percent: int, rounds: int):
-    """(edges, labels) once no pair that was not tried crosses components."""
-    for turn in range(rounds):
-        labels = stage(components(edges), "components")
-        a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        left = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        crossing = left.join(a, "a", "left").join(b, "b", "left")
-        crossing = crossing.select("a", "b", "trees", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        if turn < rounds - 1:
-            ends = [F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d")]
-            best = crossing.groupBy(*ends).agg(F.min(F.struct((-F.col("trees")).alias("t"), "a", "b")).alias("x"))
-            crossing = best.select("x.a", "x.b")
-        crossing = stage(crossing.select("a", "b"), "tried")
-        if not crossing.limit(1).count():
-            return edges, labels
-        tried = crossing if tried is None else tried.union(crossing)
-        edges = edges.union(stage(_verify(crossing, texts, size, percent), "links"))
-    return edges, stage(components(edges), "components")
+def _settle(pairs: DataFrame, labels: DataFrame | None, texts: DataFrame, size: int, percent: int, rounds: int) -> DataFrame:
+    """The components (node, component) once no pair crosses them that could be a link.
+
+    In all rounds but the last each two components that pairs still join try their best pair. A pair
+    that was tried and is no link is left out of later rounds; new links only merge components.
+    """
+    spark = pairs.sparkSession
+    with scratch_scope(spark) as scope:
+        for turn in range(rounds):
+            known = labels if labels is not None else spark.createDataFrame([], "node long, component long")
+            a = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+            b = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+            crossing = pairs.join(a, "a", "left").join(b, "b", "left")
+            crossing = crossing.select("a", "b", "trees", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+            tried = crossing
+            if turn < rounds - 1:
+                ends = [F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d")]
+                tried = crossing.groupBy(*ends).agg(F.min(F.struct((-F.col("trees")).alias("t"), "a", "b")).alias("x")).select("x.a", "x.b")
+            tried = stage(tried.select("a", "b"), "tried")
+            if not tried.limit(1).count():
+                break
+            links = stage(_verify(tried, texts, size, percent), "links")
+            if turn < rounds - 1:
+                left = stage(crossing.select("a", "b", "trees").join(tried, ["a", "b"], "left_anti"), "crossing")
+                scope.free(pairs)
+                pairs = left
+            if links.limit(1).count():
+                merged = merge(labels, links)
+                scope.free(labels)
+                labels = merged
+        if labels is None:
+            labels = stage(spark.createDataFrame([], "node long, component long"), "components")
+        return scope.keep(labels)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, rounds: int = 3) -> DataFrame:
@@ -331,6 +355,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     linked with nothing; fewer words than a shingle are one shingle. Of rows that share a key the one
     with the smallest text hash stands for it; rows with a null key are left out.
     """
+    with scratch_scope(docs.sparkSession) as scope:
+        found = stage(_near_duplicates(docs, key, text, shingle, percent, rounds, scope), "near-duplicates")
+        return scope.keep(found).withColumnRenamed("id", key)
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, shingle: int, percent: int, rounds: int, scope: Scope) -> DataFrame:
     plain = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     plain = plain.withColumn("hash", F.xxhash64("text"))
     signed = plain.select("id", "text", "hash").mapInArrow(
@@ -348,14 +378,19 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     texts = plain.join(asked, (plain["id"] == asked["node"]) & (plain["hash"] == asked["hash"])).select("node", "text")
     texts = stage(texts.dropDuplicates(["node"]), "texts")
     tried = stage(_best_per_node(pairs), "tried")
-    edges = stage(_verify(tried, texts, shingle, percent), "links")
-    edges, labels = _settle(pairs, tried, edges, texts, shingle, percent, rounds)
+    links = stage(_verify(tried, texts, shingle, percent), "links")
+    labels = merge(None, links)
+    left = stage(pairs.join(tried, ["a", "b"], "left_anti"), "crossing")
+    scope.free(tried, links)
+    labels = _settle(left, labels, texts, shingle, percent, rounds)
     more = _open_pairs(classes, labels, texts, shingle, percent)
     if more.limit(1).count():
         # a neighbour that still crosses components was verified and is not similar enough
-        more = more.join(pairs, ["a", "b"], "left_anti")
-        _, labels = _settle(more, None, edges, texts, shingle, percent, rounds)
+        fresh = stage(more.join(pairs, ["a", "b"], "left_anti"), "crossing")
+        scope.free(more, pairs)
+        labels = _settle(fresh, labels, texts, shingle, percent, rounds)
+    scope.free(texts)
     of_class = classes.select("d0", "d1", "node").join(labels, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component_id"))
     named = full.select("id", "n_shingles", "d0", "d1").join(of_class, ["d0", "d1"]).select("id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return named.union(alone).withColumnRenamed("id", key)
+    return named.union(alone)
