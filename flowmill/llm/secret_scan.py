@@ -9,6 +9,7 @@ are verified with the expression itself. A rule without mandatory trigrams scans
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as sre  # the parser of the standard library, under its name since 3.11
 from re import _parser as sre_parse
@@ -109,41 +110,81 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
+_SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _by_blocks(
+    items: Column,
+    advance: Callable[[Column, Column], Column],
+    walk: Callable[[Column, Column], Column],
+) -> Column:
+    """``walk(block, position)`` for each block of ``items``, where a position goes from 0 through ``advance``.
+
+    A fold copies what it gathered at every step, so it may gather only a little: blocks of about the
+    square root of the items keep the cost of n items at n ** 1.5 copied references.
+    """
+    none = F.array().cast("array<int>")
+
+    def each(items: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(items))).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(items) - 1) / side).cast("int")),
+            lambda i: F.slice(items, i * side + 1, side),
+        )
+
+        def with_positions(blocks: Column) -> Column:
+            begins = F.aggregate(
+                blocks,
+                F.struct(F.lit(0).alias("at"), none.alias("out")),
+                lambda a, block: F.struct(
+                    F.aggregate(block, a["at"], advance).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")
+                ),
+                lambda a: a["out"],
+            )
+            return F.zip_with(blocks, begins, walk)
+
+        return _bound(blocks, with_positions)
+
+    return _bound(items, each)
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Spans of a rule's matches as structs (start, order, end, kind), code points, end exclusive."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     between = F.split(text, rule.pattern, -1)
-    zipped = F.arrays_zip(whole.alias("m"), judged.alias("g"), between.alias("b"))
     # the pieces between matches have one more entry than the matches; it has a null match
-    walked = F.aggregate(
-        zipped,
-        F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>").alias("out"),
-        ),
-        lambda a, z: F.struct(
-            (a["at"] + F.length(z["b"]) + F.coalesce(F.length(z["m"]), F.lit(0))).alias("at"),
-            F.when(
-                F.length(z["g"]) >= rule.least,
-                F.concat(
-                    a["out"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + F.length(z["b"])).alias("start"),
-                            F.lit(order).alias("ord"),
-                            (a["at"] + F.length(z["b"]) + F.length(z["m"])).alias("end"),
-                            F.lit(rule.kind).alias("kind"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(a["out"])
-            .alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(F.rlike(text, F.lit(rule.pattern)), walked).otherwise(F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>"))
+    zipped = F.arrays_zip(whole.alias("m"), judged.alias("g"), between.alias("b"))
+
+    def advance(at: Column, z: Column) -> Column:
+        return at + F.length(z["b"]) + F.coalesce(F.length(z["m"]), F.lit(0))
+
+    def step(a: Column, z: Column) -> Column:
+        start = a["at"] + F.length(z["b"])
+        span = F.struct(
+            start.alias("start"),
+            F.lit(order).alias("ord"),
+            (start + F.length(z["m"])).alias("end"),
+            F.lit(rule.kind).alias("kind"),
+        )
+        stands = F.length(z["g"]) >= rule.least
+        return F.struct(
+            advance(a["at"], z).alias("at"),
+            F.when(stands, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"),
+        )
+
+    def walk(block: Column, begin: Column) -> Column:
+        return F.aggregate(
+            block, F.struct(begin.alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda a: a["out"]
+        )
+
+    found = F.flatten(_by_blocks(zipped, advance, walk))
+    return F.when(F.rlike(text, F.lit(rule.pattern)), found).otherwise(F.array().cast(_SPANS))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,7 +200,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, key: str = "doc_id
     own = docs.drop("spans")
     joined = own.alias("d").join(kinds.alias("k"), F.expr(f"d.`{key}` <=> k.key"), "left")
     body = F.coalesce(F.col(f"d.`{text}`"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
+    none = F.array().cast(_SPANS)
     parts = []
     for order, rule in enumerate(rules):
         found = _spans(body, rule, order)
@@ -170,18 +211,47 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, key: str = "doc_id
 
 
 def mask(scanned: DataFrame, *, text: str = "text", cover: str = "[SECRET]") -> DataFrame:
-    """Texts with every span replaced by ``cover`` and no ``spans`` column; overlapping spans merge."""
+    """Texts with every span replaced by ``cover`` and no ``spans`` column; overlapping spans merge.
+
+    A null text stays null and a text without spans stays as it is.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    walked = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(a["out"], F.substring(body, a["at"] + 1, s["start"] - a["at"]), F.lit(cover)).alias("out"),
+
+    def advance(at: Column, span: Column) -> Column:
+        return F.greatest(at, span["end"])
+
+    def step(a: Column, span: Column) -> Column:
+        gap = F.struct(a["at"].alias("from"), span["start"].alias("to"))
+        apart = span["start"] >= a["at"]
+        return F.struct(
+            advance(a["at"], span).alias("at"),
+            F.when(apart, F.concat(a["out"], F.array(gap))).otherwise(a["out"]).alias("out"),
+        )
+
+    def covered(gaps: Column) -> Column:
+        # characters are counted from the start of a text, so a block first takes its own stretch
+        first, last = F.get(gaps, F.lit(0))["from"], F.get(gaps, F.size(gaps) - 1)["to"]
+        stretch = F.substring(body, first + 1, last - first)
+        return F.coalesce(
+            _bound(
+                F.struct(stretch.alias("s"), first.alias("first")),
+                lambda own: F.array_join(
+                    F.transform(
+                        gaps,
+                        lambda g: F.concat(F.substring(own["s"], g["from"] - own["first"] + 1, g["to"] - g["from"]), F.lit(cover)),
+                    ),
+                    "",
+                ),
             ),
-        ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))),
+            F.lit(""),
+        )
+
+    def walk(block: Column, begin: Column) -> Column:
+        none = F.array().cast("array<struct<from:int,to:int>>")
+        return F.aggregate(block, F.struct(begin.alias("at"), none.alias("out")), step, lambda a: covered(a["out"]))
+
+    end = F.array_max(F.transform("spans", lambda s: s["end"]))
+    masked = F.concat(
+        F.array_join(_by_blocks(F.col("spans"), advance, walk), ""), F.substring(body, end + 1, F.length(body))
     )
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, walked).otherwise(F.col(text))).drop("spans")
+    return scanned.withColumn(text, F.when(F.size("spans") > 0, masked).otherwise(F.col(text))).drop("spans")
