@@ -134,6 +134,30 @@ def test_pairwise_tests(spark):
     assert got["gbt"].wins_b == 5 and got["gbt"].p_holm == pytest.approx(0.125)
 
 
+def test_family_tests_and_ablation_summary(spark):
+    extra = [("ablation", "d", "main", "no_attention", s, 0.7 + s / 500, None, None, None, None) for s in range(1, 6)]
+    extra += [("leakage", "d", "gbt", "full", s, 0.95 - s / 400, None, "id", None, None) for s in range(1, 6)]
+    extra += [("order_sanity", "d", "main", "full", 1, 0.6, None, None, "shuffled", None)]
+    extra += [("main", None, "mlp", "full", 1, 0.1, None, None, None, None), ("ablation", "d", "main", None, 1, 0.2, None, None, None, None)]
+    runs = _runs(spark).unionByName(spark.createDataFrame(extra, _runs(spark).schema))
+    filled = compare.add_reference_rows(runs, "main", "d", ["main", "gbt"])
+    got = {(r.family, r.comparison_a, r.comparison_b): r for r in compare.family_tests(filled, "main", ["accuracy"]).collect()}
+    # one shuffled seed is no test, arms without runs give none
+    assert set(got) == {("main", "main", "gbt"), ("main", "main", "mlp"), ("ablation", "full", "no_attention"), ("leakage", "id", "clean")}
+    ablation, leak = got["ablation", "full", "no_attention"], got["leakage", "id", "clean"]
+    assert ablation.dataset == "d" and ablation.model is None and ablation.wins_a == 5 and ablation.p_holm == pytest.approx(0.0625)
+    assert leak.dataset is None and leak.model == "gbt" and leak.n_pairs == 5
+    assert got["main", "main", "gbt"].p_holm == pytest.approx(0.125)  # two tests share a family, one each elsewhere
+    summary = {r.ablation_variant: r.n_runs for r in compare.summaries(filled, "main")["ablation"].collect()}
+    assert summary == {"full": 5, "no_attention": 5, None: 1}
+    assert "ablation" not in compare.summaries(filled)
+
+
+def test_family_tests_of_no_runs(spark):
+    none = compare.add_reference_rows(_runs(spark).where("FALSE"), "main", "d", ["main"])
+    assert compare.family_tests(none, "main", ["accuracy"]).count() == 0
+
+
 def test_seed_pairs_drop_nulls(spark):
     a = spark.createDataFrame([("d", "1", 0.5), ("d", "2", None), ("d", "x", 0.1)], "k string, seed string, value double")
     b = spark.createDataFrame([("d", "1", 0.4), ("d", "2", 0.3)], "k string, seed string, value double")

@@ -42,6 +42,28 @@ SELECT l_returnflag AS dataset, concat('m', CAST(l_suppkey % 4 AS {TEXT})) AS mo
 FROM lineitem GROUP BY l_returnflag, l_suppkey % 4, l_linenumber
 """
 
+# The same runs as families. Ablation, leakage and order runs are other models' runs under another
+# name; explicit reference settings exist for some seeds only, the rest is to be back-filled.
+_FAMILY = """SELECT '{family}' AS family, {dataset} AS dataset, {model} AS model, {variant} AS variant, seed, {seq_len} AS seq_len,
+ {protocol} AS leakage_protocol, {order} AS record_order, {path} AS relative_path, accuracy, f1_macro, auc FROM runs WHERE {where}"""
+_NONE = dict(
+    dataset="dataset", model="model", variant="'full'", seq_len="CAST(NULL AS INT)", protocol="CAST(NULL AS {TEXT})",
+    order="CAST(NULL AS {TEXT})", path="CAST(NULL AS {TEXT})", where="TRUE",
+)
+_HYPER_PATH = "concat('hyper/dropout/', CASE WHEN model = 'm0' THEN '0p1' ELSE '0p3' END, '/seed_', CAST(seed AS {TEXT}), '/metrics.json')"
+_FAMILIES = [
+    dict(family="main"),
+    dict(family="ablation", model="'m0'", where="model <> 'm0'", variant="CASE model WHEN 'm1' THEN 'no_multiscale' WHEN 'm2' THEN 'no_attention' ELSE 'no_focal_loss' END"),
+    dict(family="leakage", dataset="'R'", protocol="CASE dataset WHEN 'A' THEN 'attack_cat' WHEN 'N' THEN 'id' ELSE 'clean' END", where="model IN ('m0', 'm3') AND (dataset <> 'R' OR seed <= 3)"),
+    dict(family="window", seq_len="CASE WHEN seed <= 3 THEN 16 ELSE 32 END", where="model = 'm0'"),
+    dict(family="order_sanity", model="'m0'", order="CASE model WHEN 'm0' THEN 'original' ELSE 'shuffled' END", where="model = 'm1' OR (model = 'm0' AND seed <= 2)"),
+    dict(family="hyper", model="'m0'", path=_HYPER_PATH, where="dataset = 'R' AND (model = 'm1' OR (model = 'm0' AND seed <= 2))"),
+    dict(family="temporal", where="dataset = 'A' AND model IN ('m0', 'm1')"),
+]
+FAMILY_RUNS = f"WITH runs AS ({RUNS}) " + " UNION ALL ".join(
+    _FAMILY.format(**{**_NONE, **family}) for family in _FAMILIES
+)
+
 # Label spellings assigned to the event rows in turn.
 LABEL_TEXTS = [
     " BENIGN ", "Benign", "normal.", "normal", "attack", "1", "1.0", "0", " ATTACK", "malicious",
@@ -90,6 +112,10 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, RUNS, "lineitem")
 
 
+def family_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, FAMILY_RUNS, "lineitem")
+
+
 def split_flows(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Flow rows in the order of ``id`` with their sequential split and position in it."""
     rows = flows(spark, sf)
@@ -104,6 +130,7 @@ def duck(sql: str) -> str:
 FLOWS_CTE = f"flows AS ({duck(FLOWS)})"
 PREDS_CTE = f"preds AS ({duck(PREDS)})"
 RUNS_CTE = f"runs AS ({duck(RUNS)})"
+FAMILY_CTE = f"family_runs AS ({duck(FAMILY_RUNS)})"
 SPLIT_CTE = f"""{FLOWS_CTE},
 numbered AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS row_idx, count(*) OVER () AS n_rows FROM flows),
 cuts AS (SELECT *, CAST(floor(n_rows*(1.0::DOUBLE-2.0::DOUBLE*0.15::DOUBLE)) AS BIGINT) AS n_train,

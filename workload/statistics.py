@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowmill.functions.distributions import t_quantile
 from flowmill.operators import experiments, statistics
 from flowmill.plans import compare
-from workload.fixtures import RUNS_CTE, r6, runs, table
+from workload.fixtures import FAMILY_CTE, RUNS_CTE, family_runs, r6, runs, table
 from workload.registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -133,6 +133,115 @@ def antijoin_reference_rows(spark, sf):
     return everything.unionByName(back).select("family", "dataset", "model", "seed", "seq_len", "accuracy")
 
 
+# --- all families of runs -----------------------------------------------------
+
+_ROW = "family, dataset, model, variant, seed, {} AS seq_len, {} AS leakage_protocol, {} AS record_order, {} AS relative_path, accuracy, f1_macro, auc"
+
+
+def _backfill_sql(family: str, where: str, keys: str, seq_len="seq_len", protocol="leakage_protocol", order="record_order", path="relative_path") -> str:
+    row = _ROW.format(seq_len, protocol, order, path).replace("family,", f"'{family}' AS family,", 1)
+    return f"""SELECT * FROM (SELECT {row} FROM family_runs WHERE family = 'main' AND {where}) x
+     WHERE NOT EXISTS (SELECT 1 FROM family_runs e WHERE e.family = '{family}' AND {' AND '.join(f'e.{k} = x.{k}' for k in keys.split())})"""
+
+
+_BACKFILLED = f"""{FAMILY_CTE}, filled AS (SELECT * FROM family_runs
+ UNION ALL {_backfill_sql('leakage', "dataset = 'R' AND model IN ('m0', 'm3')", 'model seed leakage_protocol', protocol="'clean'")}
+ UNION ALL {_backfill_sql('window', "model = 'm0'", 'dataset seed seq_len', seq_len='16')}
+ UNION ALL {_backfill_sql('order_sanity', "model = 'm0'", 'dataset seed record_order', order="'original'")}"""
+_BASE_RUNS = "dataset = 'R' AND model = 'm0'"
+for _p, _v in compare.BASE_TOKENS.items():
+    _path = f"concat('hyper/{_p}/{_v}/seed_', seed, '/metrics.json')"
+    _BACKFILLED += f" UNION ALL {_backfill_sql('hyper', _BASE_RUNS, 'relative_path', path=_path)}"
+_BACKFILLED += ")"
+
+
+def _filled(spark, sf):
+    return compare.add_reference_rows(family_runs(spark, sf), "m0", "R", ["m0", "m3"])
+
+
+@query("antijoin_reference_families", f"WITH {_BACKFILLED} SELECT * FROM filled")
+def antijoin_reference_families(spark, sf):
+    """The base setting of every family, taken from the main runs where no explicit run exists."""
+    return _filled(spark, sf)
+
+
+_SUMMARY_KEYS = {
+    "main": ("dataset", "model", "variant"), "leakage": ("leakage_protocol", "model"), "window": ("dataset", "seq_len"),
+    "order_sanity": ("dataset", "record_order"), "temporal": ("dataset", "model"),
+    "hyper": ("sensitivity_parameter", "sensitivity_value"), "ablation": ("dataset", "ablation_variant"),
+}
+_SUMMARY_SQL = {
+    "hyper": "SELECT *, split_part(relative_path, '/', 2) AS sensitivity_parameter, split_part(relative_path, '/', 3) AS sensitivity_value FROM filled WHERE family = 'hyper'",
+    "ablation": "SELECT *, CASE family WHEN 'main' THEN 'full' ELSE variant END AS ablation_variant FROM filled WHERE family = 'ablation' OR (family = 'main' AND model = 'm0')",
+}
+
+
+def _keys_sql(keys: tuple) -> str:
+    texts = [f"CAST({k} AS VARCHAR)" for k in keys] + ["NULL"] * (3 - len(keys))
+    return ", ".join(f"{t} AS key_{i}" for i, t in enumerate(texts, 1))
+
+
+_SUMMARISED = " UNION ALL ".join(
+    f"SELECT '{name}' AS summary, {_keys_sql(keys)}, accuracy, f1_macro, auc FROM ("
+    + _SUMMARY_SQL.get(name, f"SELECT * FROM filled WHERE family = '{name}'") + ")"
+    for name, keys in _SUMMARY_KEYS.items()
+)
+
+
+@query(
+    "report_family_summaries",
+    f"""WITH {_BACKFILLED}, u AS ({_SUMMARISED}), s AS (SELECT *, count(*) OVER (PARTITION BY summary, key_1, key_2, key_3) AS n FROM u), q AS (SELECT *, {_T} AS t FROM s)
+    SELECT summary, key_1, key_2, key_3, count(*) AS n_runs, {', '.join(_summary_sql(m) for m in _METRICS)} FROM q GROUP BY summary, key_1, key_2, key_3""",
+)
+def report_family_summaries(spark, sf):
+    """The summary tables of all families, keys as texts, one below the other."""
+    out = None
+    for name, rows in compare.summaries(_filled(spark, sf), "m0").items():
+        keys = [F.col(k).cast("string") for k in _SUMMARY_KEYS[name]]
+        keys += [F.lit(None).cast("string")] * (3 - len(keys))
+        part = rows.select(
+            F.lit(name).alias("summary"), *[k.alias(f"key_{i}") for i, k in enumerate(keys, 1)], "n_runs",
+            *[c for m in _METRICS for c in (
+                r6(F.col(f"{m}_mean")).alias(f"{m}_mean"), r6(F.col(f"{m}_std")).alias(f"{m}_std"),
+                r6(F.col(f"{m}_ci95_halfwidth")).alias(f"{m}_ci95_halfwidth"), F.col(f"{m}_mean_std"),
+            )],
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_VARIANTS = "(VALUES ('no_multiscale'), ('no_attention'), ('no_focal_loss')) v(b)"
+_FAMILY_PAIRS = f"""{_BACKFILLED}, arms AS (
+ SELECT 'main' AS family, dataset AS context, model AS arm, seed, accuracy, f1_macro, auc FROM filled WHERE family = 'main'
+ UNION ALL SELECT 'ablation', dataset, CASE family WHEN 'main' THEN 'full' ELSE variant END, seed, accuracy, f1_macro, auc FROM filled WHERE family = 'ablation' OR (family = 'main' AND model = 'm0')
+ UNION ALL SELECT 'leakage', model, leakage_protocol, seed, accuracy, f1_macro, auc FROM filled WHERE family = 'leakage'
+ UNION ALL SELECT 'order_sanity', dataset, record_order, seed, accuracy, f1_macro, auc FROM filled WHERE family = 'order_sanity'),
+ cmp AS (SELECT DISTINCT 'main' AS family, 'm0' AS a, model AS b FROM filled WHERE family = 'main' AND model <> 'm0' UNION ALL SELECT 'ablation', 'full', b FROM {_VARIANTS}
+  UNION ALL SELECT 'leakage', a, 'clean' FROM (VALUES ('attack_cat'), ('id'), ('both')) v(a) UNION ALL SELECT 'order_sanity', 'original', 'shuffled'),
+ cells AS (UNPIVOT arms ON accuracy, f1_macro, auc INTO NAME metric VALUE value),
+ pairs AS (SELECT x.family AS dataset, x.metric, x.context || '|' || c.a || '|' || c.b AS other, x.seed, x.value AS va, y.value AS vb, round(x.value - y.value, 12) AS d
+  FROM cmp c JOIN cells x ON x.family = c.family AND x.arm = c.a JOIN cells y ON y.family = c.family AND y.arm = c.b AND y.context = x.context AND y.metric = x.metric AND y.seed = x.seed)"""
+_FAMILY_TESTS = _FAMILY_PAIRS + _TESTS[len(_PAIRS):]
+
+
+@query(
+    "report_family_tests",
+    f"""WITH {_FAMILY_TESTS}, named AS (SELECT *, split_part(other, '|', 1) AS context, split_part(other, '|', 2) AS comparison_a, split_part(other, '|', 3) AS comparison_b FROM tests),
+    h AS (SELECT *, row_number() OVER (PARTITION BY dataset, context, metric ORDER BY p_value, comparison_a, comparison_b) AS pos, count(*) OVER (PARTITION BY dataset, context, metric) AS m FROM named),
+    adj AS (SELECT *, max(least(1.0::DOUBLE, (m - pos + 1) * p_value)) OVER (PARTITION BY dataset, context, metric ORDER BY pos ROWS UNBOUNDED PRECEDING) AS p_holm FROM h)
+    SELECT dataset AS family, CASE WHEN dataset <> 'leakage' THEN context END AS dataset, CASE WHEN dataset = 'leakage' THEN context END AS model, metric, comparison_a, comparison_b,
+    n_pairs, {', '.join(f'round({c},6) AS {c}' for c in _EFFECTS)}, wins_a, ties, wins_b, round(p_holm,6) AS p_holm, p_holm < 0.05 AS significant_0_05 FROM adj""",
+)
+def report_family_tests(spark, sf):
+    """Every listed comparison of the main, ablation, leakage and order families."""
+    tests = compare.family_tests(_filled(spark, sf), "m0", _METRICS)
+    return tests.select(
+        "family", "dataset", "model", "metric", "comparison_a", "comparison_b", "n_pairs",
+        *[r6(F.col(c)).alias(c) for c in _EFFECTS], "wins_a", "ties", "wins_b",
+        r6(F.col("p_holm")).alias("p_holm"), "significant_0_05",
+    )
+
+
 @query(
     "history_best_epoch",
     """WITH h AS (SELECT user_id AS run_id, event_id AS epoch, value/500 AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
