@@ -296,3 +296,19 @@ def test_prepare_end_to_end(spark):
     assert shuffled.info().where("split='train'").first().windows == 203
     with pytest.raises(ValueError):
         prepare(rows, ["num"], seq_len=100)
+
+
+def test_small_and_large_dictionaries_agree(spark, monkeypatch):
+    rows = [("train" if i % 3 else "test", i, f"v{i * i % 11}", "x" if i % 5 else None) for i in range(90)]
+    df = spark.createDataFrame(rows, "split string, split_idx long, c string, d string")
+    train = df.where("split = 'train'")
+
+    def coded():
+        return {tuple(r) for r in features.category_codes(train, ["c", "d"], "split_idx").collect()}
+
+    by_window = coded()
+    monkeypatch.setattr(features, "DICTIONARY_ROWS", 1)
+    assert coded() == by_window
+    seen = list(dict.fromkeys(r[2] for r in rows if r[0] == "train"))
+    assert {(v, n) for f, v, n in by_window if f == "c"} == {(v, i) for i, v in enumerate(seen)}
+    assert features.category_codes(train.limit(0), ["c"], "split_idx").count() == 0
