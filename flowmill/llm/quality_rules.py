@@ -139,10 +139,16 @@ def fit_cutoffs(
 
     ``labels`` has (key, quality); rows whose quality is null are left out, a key labelled more
     than once counts as good only if every label says so. A null stratum is a stratum of its own.
+    A key is one trial in a stratum however many rows it has there, at the largest of their values:
+    repeated rows are no independent evidence.
     """
     share = max_false_rejection / len(RULES)
     good = labels.where("quality IS NOT NULL").groupBy(key).agg(F.min("quality").alias("quality"))
-    held = measured.join(good.where("quality = 1"), key).select(F.col(stratum).alias("stratum"), *[_value(r).alias(r) for r in RULES])
+    held = (
+        measured.join(good.where("quality = 1"), key)
+        .groupBy(key, F.col(stratum).alias("stratum"))
+        .agg(*[F.max(_value(r)).alias(r) for r in RULES])
+    )
     over = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}@{i}") for r, (_, _, ladder) in RULES.items() for i, c in enumerate(ladder)]
     counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *over)
     cells = F.array(
@@ -165,8 +171,8 @@ def fit_cutoffs(
 
 
 def apply_cutoffs(measured: DataFrame, cutoffs: DataFrame, *, stratum: str = "lang") -> DataFrame:
-    """Adds ``rejected_by``: the names of the rules above their stratum's cutoff."""
-    joined = measured.alias("m").join(cutoffs.alias("c"), F.expr(f"m.`{stratum}` <=> c.stratum"), "left")
+    """Adds ``rejected_by`` (or replaces it): the names of the rules above their stratum's cutoff."""
+    joined = measured.drop("rejected_by").alias("m").join(cutoffs.alias("c"), F.expr(f"m.`{stratum}` <=> c.stratum"), "left")
     hit = F.array(*[F.when(_value(r) > F.col(f"c.cut_{r}"), F.lit(r)) for r in RULES])
     return joined.select("m.*", F.array_compact(hit).alias("rejected_by"))
 
