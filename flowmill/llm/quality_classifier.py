@@ -141,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, key: str = "doc_i
 
     Half of the bound is for each class, picked by the hash of the key, so the sample is repeatable
     and needs no sort of the table; each class weighs as much as it has labelled rows. Rows without
-    a label, text or key are not used. Without any labelled row of a class every score is that of
+    a label, text or key are not used; of rows that share a key the one with the smallest text hash
+    is, so the bound holds for rows too. Without any labelled row of a class every score is that of
     the class prior.
     """
     marked = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").cast("int").alias("quality"))
@@ -153,8 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, key: str = "doc_i
         ids = one.orderBy(F.xxhash64(key), key).limit(max_rows // 2)
         chosen.append(ids)
         sizes.append(one.count())
-    picked = rows.join(chosen[0].unionByName(chosen[1]), key).select(key, "text", "quality").toPandas()
-    picked = picked.sort_values([key, "text"]).reset_index(drop=True)
+    labelled = rows.join(chosen[0].unionByName(chosen[1]), key)
+    one_each = labelled.groupBy(key).agg(F.min_by(F.struct("text", "quality"), F.struct(F.xxhash64("text"), "text")).alias("row"))
+    picked = one_each.select(key, "row.text", "row.quality").toPandas()
+    picked = picked.sort_values(key).reset_index(drop=True)
     labels_ = picked["quality"].to_numpy(int) if len(picked) else np.zeros(0, int)
     if len(set(labels_)) < 2:
         share = (sizes[1] + 0.5) / (sum(sizes) + 1)
