@@ -29,10 +29,14 @@ _URN = "urn:record:"
 
 def base32_sha1(payload: Column) -> Column:
     """The SHA-1 of a text or of bytes in upper-case base32, 32 characters."""
-    digest = F.sha1(payload)
-    # five hex digits are four characters
-    groups = [F.conv(F.substring(digest, 1 + 5 * i, 5), 16, 10).cast("int") for i in range(8)]
-    return F.concat(*[F.substring(F.lit(_BASE32), F.shiftright(g, s).bitwiseAND(31) + 1, F.lit(1)) for g in groups for s in (15, 10, 5, 0)])
+
+    def spelled(digest: Column) -> Column:
+        # Spark's digits of base 32 are 0-9 and A-V; five hex digits are four of them
+        groups = [F.lpad(F.conv(F.substring(digest, at, n), 16, 32), n * 4 // 5, "0") for at, n in ((1, 15), (16, 15), (31, 10))]
+        return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _BASE32)
+
+    # bound once: a branch of a conditional works out each mention of a digest anew
+    return F.transform(F.array(F.sha1(payload)), spelled)[0]
 
 
 def assign_roles(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:

@@ -165,6 +165,15 @@ def test_archives_read_back_whole(spark, split, files):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_digest_is_worked_out_once(spark):
+    """A branch of a conditional shares no subexpressions, so each mention of the hash is one more hash of the payload."""
+    payloads = spark.range(200).select(F.when(F.col("id") > 0, F.sha2(F.col("id").cast("string"), 512)).alias("p"))
+    found = payloads.select("p", F.when(F.col("p").isNotNull(), warc.base32_sha1(F.col("p"))).alias("d"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
+    for p, d in found.collect():
+        assert d == (p and base64.b32encode(hashlib.sha1(p.encode()).digest()).decode())
+
+
 def test_archives_least_bytes_and_empty_table(spark):
     table = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     assert sorted((tuple(r) for r in digests(warc.archive_pages(table, least_bytes=17)).collect()), key=str) == expected(PAGES, 17)
