@@ -407,6 +407,88 @@ def test_chat_query_reads_its_examples(spark, tmp_path, monkeypatch, column, shi
         assert differ >= changed if changed else not differ
 
 
+CHATS = {
+    1: [("system", "be </s> brief"), ("user", "first question"), ("assistant", "an <s> answer"), ("user", "more"), ("assistant", ""), ("assistant", "end<"), ("user", "unanswered")],
+    2: [("user", "alone"), ("user", "[INST] é😀\n")],
+    3: [("user" if i % 2 else "assistant", f"turn {i}\n" * (i % 4)) for i in range(61)],
+    None: [("assistant", "x y")],
+}
+CHAT_SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("limit", [chat.WRITTEN, 120, 0])
+def test_chat_examples_hold_their_contexts(spark, limit):
+    """Every answer is an example that holds all turns before it, written out, and only the answer is its target."""
+    rows = [(conv, i, role, text) for conv, turns in CHATS.items() for i, (role, text) in enumerate(turns)]
+    segments = chat.render(spark.createDataFrame(rows, CHAT_SCHEMA).repartition(3))
+    written = {(r.conv_id, r.turn_no): r.segment for r in segments.collect()}
+    examples = chat.expand(segments, limit=limit)
+    got = {(r.conv_id, r.example): r for r in examples.collect()}
+    answers = {(c, i) for c, turns in CHATS.items() for i, (role, _) in enumerate(turns) if role == "assistant"}
+    before = {(c, i): "".join(written[c, j] for j in range(i)) for c, i in written}
+    longer = {key for key in written if len(before[key] + written[key]) > limit}
+    assert set(got) == answers | longer | {(1, 6), (2, 1)}
+    for key, r in got.items():
+        assert r.context_begin == (len(before[key]) if len(before[key]) > limit else 0)
+        if key in answers:
+            whole = before[key][: r.context_begin] + r.context + r.completion
+            assert whole == before[key] + written[key] and r.context_end == r.loss_begin == len(f"{before[key]}<s>assistant\n")
+            assert len(r.context) == r.context_end - r.context_begin
+            assert whole[r.loss_begin : r.loss_end] + "</s>\n" == r.completion
+        else:
+            assert r.context == (before[key] + written[key])[r.context_begin :] and r.completion is None and r.loss_end is None
+    full = {(r.conv_id, r.example): r.context for r in chat.with_context(segments, examples).collect()}
+    assert full == {key: before[key][: r.context_begin] + r.context for key, r in got.items()}
+    read = {(r.conv_id, r.turn_no): (r.role, r.text, r.segment) for r in chat.read_examples(examples).collect()}
+    assert read == {(conv, i): (role, text, written[conv, i]) for conv, i, role, text in rows}
+    assert chat.digest(chat.read_examples(examples)).exceptAll(chat.digest(chat.read_back(segments))).isEmpty()
+    assert chat.digest(chat.read_examples(chat.expand(chat.render(spark.createDataFrame([], CHAT_SCHEMA)), limit=limit))).isEmpty()
+    # a row that goes on needs the one before it
+    if limit == 120:
+        read = chat.digest(chat.read_examples(examples.where("conv_id != 3 OR example != 30"))).where("conv_id = 3").first()
+        assert (read.turns_sha256, read.formatted_chars) == (None, None)
+
+
+@pytest.mark.parametrize(
+    ("example", "held", "instead", "expected"),
+    [
+        # turns that several examples hold: where these contradict each other there are no turns to hash
+        (5, "first question", "other question", {"turns_sha256": None, "formatted_chars": None}),
+        (2, "<s>user\n", "<s>usher\n", {"turns_sha256": None, "formatted_chars": None}),
+        # a turn that one context holds
+        (6, "unanswered", "unAnswered", {"turns_sha256": "other"}),
+    ],
+)
+def test_chat_query_reads_every_context(spark, tmp_path, monkeypatch, example, held, instead, expected):
+    """A wrong turn in the context of any example shows in the registered result."""
+    from flowmill.llm import queries
+
+    rows = [(conv, i, role, text) for conv, turns in CHATS.items() for i, (role, text) in enumerate(turns)]
+    spark.createDataFrame(rows, CHAT_SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    expand = chat.expand
+
+    def wrong(segments):
+        made = expand(segments)
+        one = (F.col("conv_id") == 1) & (F.col("example") == example)
+        return made.withColumn("context", F.when(one, F.replace("context", F.lit(held), F.lit(instead))).otherwise(F.col("context")))
+
+    def result():
+        return {r.conv_id: r.asDict() for r in queries.op2_chat_format(spark, str(tmp_path)).collect()}
+
+    right = result()
+    for conv, turns in CHATS.items():
+        said = "".join(f"{role}\n{text}\n" for role, text in turns)
+        loss = "".join(text for role, text in turns if role == "assistant")
+        assert right[conv]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert right[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert (right[conv]["n_turns"], right[conv]["loss_chars"]) == (len(turns), len(loss))
+    monkeypatch.setattr(chat, "expand", wrong)
+    got = result()
+    assert {c for c in got if got[c] != right[c]} == {1}
+    for column, value in expected.items():
+        assert got[1][column] == value or value == "other" and got[1][column] not in (None, right[1][column])
+
+
 def test_pipeline_keeps_one_of_repeated_rows(spark):
     """Repeated rows, rows without an id and rows that share one lose their copies, not their text."""
     import corpus_pipeline
