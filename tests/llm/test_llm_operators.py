@@ -448,6 +448,27 @@ def test_chat_examples_hold_their_contexts(spark, limit):
         read = chat.digest(chat.read_examples(examples.where("conv_id != 3 OR example != 30"))).where("conv_id = 3").first()
         assert (read.turns_sha256, read.formatted_chars) == (None, None)
 
+@pytest.mark.parametrize("stretch", [chat.STRETCH, 100, 1 << 40])
+def test_chat_contexts_of_any_length(spark, stretch):
+    """Contexts are written out however long a conversation is, and however many tasks write them."""
+    long = "ä </s> " * 40_000
+    turns = [("user", long), ("assistant", "one"), ("user", "two"), ("assistant", "three" * 30), ("assistant", ""), ("user", "four"), ("assistant", "five"), ("user", "six")]
+    rows = [(conv, i, role, text) for conv in (1, None) for i, (role, text) in enumerate(turns if conv else turns[1:])]
+    segments = chat.render(spark.createDataFrame(rows, CHAT_SCHEMA).repartition(3))
+    written = {(r.conv_id, r.turn_no): r.segment for r in segments.collect()}
+    assert sum(len(text) for (conv, _), text in written.items() if conv == 1) > 1 << 18
+    examples = chat.expand(segments, stretch=stretch)
+    got = {(r.conv_id, r.example): r for r in examples.collect()}
+    assert set(got) == {(1, i) for i in (1, 3, 4, 6, 7)} | {(None, i) for i in (0, 2, 3, 5, 6)}
+    for (conv, i), r in got.items():
+        assert r.context_begin == 0
+        assert r.context + (r.completion or "") == "".join(written[conv, j] for j in range(i + 1))
+    assert chat.digest(chat.read_examples(examples)).exceptAll(chat.digest(chat.read_back(segments))).isEmpty()
+    # what the last answer's context holds of the first turn is read too
+    last = (F.col("conv_id") == 1) & (F.col("example") == 6)
+    other = examples.withColumn("context", F.when(last, F.concat(F.lit("<s>User"), F.expr("substring(context, 8)"))).otherwise(F.col("context")))
+    assert chat.digest(chat.read_examples(other)).where("conv_id = 1").first().turns_sha256 is None
+
 
 @pytest.mark.parametrize(
     ("example", "held", "instead", "expected"),
